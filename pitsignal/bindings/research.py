@@ -16,7 +16,7 @@ from pitsignal.plans import research as research_plan
 from pitsignal.plans import studies, walkforward
 from pitsignal.plans.walkforward import CHECKS, WalkForwardConfig
 from pitsignal.schemas import missing_columns
-from pitsignal.session import scratch_path
+from pitsignal.session import cut_lineage, scratch_path
 
 CONFIG = WalkForwardConfig(min_train=6, test_size=3, min_total_signals=4, beta_lookbacks=LOOKBACKS)
 
@@ -222,8 +222,8 @@ def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("A07_pooled_out_of_sample", f"""with {CTE_WF} select symbol, n as count, {r('mean')} as mean, {r('med')} as median, {r('hit')} as hit_rate,
  {r('loo')} as loo_max_mean_impact from pool""")
 def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = episodes(spark, sf_dir)
-    signals = walkforward.walk_forward(frames, CONFIG).signals
+    frames = cut_lineage(episodes(spark, sf_dir))
+    signals = walkforward.walk_forward(frames, CONFIG, cut=False).signals
     return walkforward.pooled_summary(frames, signals).select("symbol", "count", "mean", "median", "hit_rate", "loo_max_mean_impact")
 
 
@@ -238,26 +238,24 @@ vd as (select *, case when not c6 then 'KILL' when c1 and c2 and c3 and c4 and c
 _CHECK_COLS = ", ".join(f"c{i + 1} as {name}" for i, name in enumerate(CHECKS))
 
 
-def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = episodes(spark, sf_dir)
-    run = walkforward.walk_forward(frames, CONFIG)
-    return walkforward.promotion_checks(walkforward.pooled_summary(frames, run.signals), run.results, CONFIG, control=CONTROL)
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walkforward.evaluate(episodes(spark, sf_dir), CONFIG, control=CONTROL)[1]
 
 
 @query("A10_promotion_checks", f"""with {cte_checks()} select symbol, n as total_signals, {r('mean')} as mean_test_return, {r('cm')} as control_mean,
  {r('loo')} as loo_max_mean_impact, fold_count, {_CHECK_COLS} from ck""")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks(spark, sf_dir)
+    return judged(spark, sf_dir).drop("checks", "verdict")
 
 
 @query("J11_control_comparison", f"with {cte_checks()} select symbol, {r('mean')} as mean_test_return, {r('cm')} as control_mean, c6 as control_not_equally_strong from ck")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks(spark, sf_dir).select("symbol", "mean_test_return", "control_mean", "control_not_equally_strong")
+    return judged(spark, sf_dir).select("symbol", "mean_test_return", "control_mean", "control_not_equally_strong")
 
 
 @query("A11_symbol_verdict", f"with {cte_checks()} select symbol, verdict from vd")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walkforward.verdicts(checks(spark, sf_dir)).select("symbol", "verdict")
+    return judged(spark, sf_dir).select("symbol", "verdict")
 
 
 _MAP = "concat_ws(',', " + ", ".join(f"concat('{name}=', c{CHECKS.index(name) + 1}::varchar)" for name in sorted(CHECKS)) + ")"
@@ -266,7 +264,7 @@ _MAP = "concat_ws(',', " + ", ".join(f"concat('{name}=', c{CHECKS.index(name) +
 @query("C02_walk_forward_verdict", f"""with {cte_checks()} select symbol, n as total_signals, {r('mean')} as mean_test_return, {r('cm')} as control_mean, fold_count,
  {_MAP} as checks, verdict, '{CONFIG.config_hash()}' as config_hash from vd""")
 def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = walkforward.verdicts(checks(spark, sf_dir)).withColumn("config_hash", F.lit(CONFIG.config_hash()))
+    table = judged(spark, sf_dir).withColumn("config_hash", F.lit(CONFIG.config_hash()))
     return table.select("symbol", "total_signals", "mean_test_return", "control_mean", "fold_count", "checks", "verdict", "config_hash")
 
 
@@ -301,7 +299,7 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A12_overall_verdict", f"""with {cte_checks()} select case when bool_and(verdict = 'GO') then 'GO' when bool_and(verdict = 'KILL') then 'KILL' else 'MUTATE' end as overall_verdict from vd""")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walkforward.overall_verdict(walkforward.verdicts(checks(spark, sf_dir)), (PRIMARY, SECOND))
+    return walkforward.overall_verdict(judged(spark, sf_dir), (PRIMARY, SECOND))
 
 
 _HASH_A, _HASH_B = CONFIG.canonical_json("\0").split("\0")

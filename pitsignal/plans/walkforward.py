@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pitsignal.functions.numeric import finite, gated, zscore
 from pitsignal.operators.metrics import summarize
 from pitsignal.schemas import require_columns, require_positive
+from pitsignal.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -222,9 +223,15 @@ class WalkForward:
     results: DataFrame
 
 
-def walk_forward(frames: DataFrame, config: WalkForwardConfig) -> WalkForward:
-    """Evaluate every symbol of the frame, the control series among them, in one plan."""
+def walk_forward(frames: DataFrame, config: WalkForwardConfig, *, cut: bool = True) -> WalkForward:
+    """Evaluate every symbol of the frame, the control series among them, in one plan.
+
+    The cleaned frame is read by sessions, folds and rows. It has one row per (symbol, lookback,
+    session), so it is checkpointed once (`cut`) instead of rebuilding the episodes from bars.
+    """
     clean = clean_frames(frames, config)
+    if cut:
+        clean = cut_lineage(clean)
     sessions = common_sessions(clean, config.beta_lookbacks)
     folds = expanding_folds(sessions, min_train=config.min_train, test_size=config.test_size)
     rows = fold_rows(clean, sessions, folds)
@@ -240,6 +247,14 @@ def pooled_summary(frames: DataFrame, signals: DataFrame) -> DataFrame:
     return summarize(symbols.join(signals, "symbol", "left"), ["symbol"], "signed_return")
 
 
+def evaluate(frames: DataFrame, config: WalkForwardConfig, *, control: str | None) -> tuple[WalkForward, DataFrame]:
+    """The evaluation tables and the verdict table with its checks, one row per symbol."""
+    kept = cut_lineage(frames)
+    run = walk_forward(kept, config, cut=False)
+    checks = promotion_checks(pooled_summary(kept, run.signals), run.results, config, control=control)
+    return run, verdicts(checks)
+
+
 # fixed values: names and order of the promotion checks
 CHECKS = (
     "multiple_positive_folds",
