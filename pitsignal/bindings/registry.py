@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pitsignal.bindings import episodes as _episodes
 from pitsignal.bindings import options as _options  # noqa: F401
+from pitsignal.bindings import records as _records  # noqa: F401
 from pitsignal.bindings import research as _research  # noqa: F401
 from pitsignal.bindings.base import ORACLES, QUERIES, flat
 from pitsignal.session import use_utc
