@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitsignal.operators.ordering import with_previous, with_sequence
 from pitsignal.schemas import LEDGER, require_columns
 
 # fixed values: legal episode transitions
@@ -121,10 +122,10 @@ def is_legal(current: Column, requested: Column, transitions: Mapping[str, Seque
 
 def audit_paths(transitions: DataFrame, allowed: Mapping[str, Sequence[str]] = TRANSITIONS) -> DataFrame:
     """Flag illegal steps, gaps in the chain and steps out of a terminal state."""
-    order = Window.partitionBy("episode_id").orderBy("transition_id")
-    before = F.lag("to_state").over(order)
+    stepped = with_previous(transitions, ["episode_id"], "transition_id", "to_state", "_before")
+    before = F.col("_before")
     source = F.col("from_state")
-    return transitions.select(
+    return stepped.select(
         "episode_id",
         "transition_id",
         "from_state",
@@ -188,4 +189,4 @@ def latest_episodes(episodes: DataFrame, limit: int) -> DataFrame:
 
 def orders_in_sequence(orders: DataFrame) -> DataFrame:
     """Orders with their number inside the episode, in id order."""
-    return orders.withColumn("sequence_no", F.row_number().over(Window.partitionBy("episode_id").orderBy("order_id")))
+    return with_sequence(orders, ["episode_id"], "order_id", "sequence_no")

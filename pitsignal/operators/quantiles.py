@@ -31,13 +31,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         F.min(x).alias("_min"),
         F.max(x).alias("_max"),
     )
+    # a group below the sketch's resolution is ranked whole, it is small by definition
+    small = F.col("_n") <= _ACCURACY
     wanted = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if p - _MARGIN <= 0 else F.col("_edges")[2 * i]).alias("lo"),
-                (F.col("_max") if p + _MARGIN >= 1 else F.col("_edges")[2 * i + 1]).alias("hi"),
+                (F.col("_min") if p - _MARGIN <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i])).alias("lo"),
+                (F.col("_max") if p + _MARGIN >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1])).alias("hi"),
             )
             for i, (name, p) in enumerate(probs.items())
         ]
