@@ -9,6 +9,7 @@ from pitsignal.bindings import options as _options  # noqa: F401
 from pitsignal.bindings import policies as _policies  # noqa: F401
 from pitsignal.bindings import records as _records  # noqa: F401
 from pitsignal.bindings import research as _research  # noqa: F401
+from pitsignal.bindings import streams as _streams  # noqa: F401
 from pitsignal.bindings.base import ORACLES, QUERIES, flat
 from pitsignal.session import use_utc
 
