@@ -24,36 +24,38 @@ def asof_backward(
 
     The instants are reduced to distinct ones, merged with the right rows and scanned per
     (key, time bucket), so one hot key is spread over its buckets. A bucket without an earlier
-    right row takes the last row of an earlier bucket, found on one row per (key, bucket).
+    right row takes the last row of an earlier bucket; that carry runs on one row per
+    (key, bucket). Both steps read the same shuffle of the merged rows.
     """
     keys = list(keys)
-    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(bucket_seconds * 1_000_000))
     payload = F.struct(*values)
+    kind = right.select(payload.alias("p")).schema["p"].dataType
+    at = F.col("_at")
 
-    instants = left.select(*keys, F.col(left_ts).alias("_at")).where(F.col("_at").isNotNull()).distinct()
-    marks = instants.select(*keys, "_at", F.lit(1).alias("_probe"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_hit"))
+    probes = left.where(F.col(left_ts).isNotNull()).select(*keys, F.col(left_ts).alias("_at")).distinct()
+    marks = probes.select(*keys, "_at", F.lit(1).alias("_probe"), F.lit(None).cast(kind).alias("_hit"))
     rows = right.select(*keys, F.col(right_ts).alias("_at"), F.lit(0).alias("_probe"), payload.alias("_hit"))
-
-    merged = rows.unionByName(marks).withColumn("_bucket", bucket(F.col("_at")))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = (
-        merged.withColumn("_seen", F.last("_hit", ignorenulls=True).over(inside))
-        .where("_probe = 1")
-        .select(*keys, "_at", "_bucket", "_seen")
-    )
-
-    closing = rows.withColumn("_bucket", bucket(F.col("_at"))).groupBy(*keys, "_bucket").agg(F.max_by("_hit", "_at").alias("_closing"))
-    wanted = instants.select(*keys, bucket(F.col("_at")).alias("_bucket")).distinct()
-    across = Window.partitionBy(*keys).orderBy("_bucket") if keys else Window.orderBy("_bucket")
-    carried = (
-        closing.join(wanted, [*keys, "_bucket"], "full_outer")
-        .withColumn("_carry", F.last("_closing", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*keys, "_bucket", "_carry")
-    )
-
-    found = scanned.join(carried, [*keys, "_bucket"], "left").select(
-        *keys, F.col("_at").alias(left_ts), F.coalesce("_seen", "_carry").alias("_found")
-    )
-    return left.join(found, [*keys, left_ts], "left").select(
-        *[left[c] for c in left.columns], *[F.col(f"_found.{v}").alias(v) for v in values]
+    bucket = F.floor(F.unix_micros(at) / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
+    merged = rows.unionByName(marks).select("*", bucket)
+
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_probe")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = merged.select(*keys, "_at", "_bucket", "_probe", F.last("_hit", ignorenulls=True).over(upto).alias("_seen"))
+
+    backwards = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_at"), F.desc("_probe"))
+    ending = merged.select(
+        *keys,
+        "_bucket",
+        F.first("_hit", ignorenulls=True).over(backwards.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_closing"),
+        F.row_number().over(backwards).alias("_nth"),
+    ).where("_nth = 1")
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ending.select(*keys, "_bucket", F.last("_closing", ignorenulls=True).over(across).alias("_carry"))
+
+    found = (
+        scanned.where("_probe = 1")
+        .join(carried, [*keys, "_bucket"], "left")
+        .select(*keys, at.alias(left_ts), F.coalesce("_seen", "_carry").alias("_found"))
     )
+    kept = [c for c in left.columns if c not in (*keys, left_ts)]
+    return left.join(found, [*keys, left_ts], "left").select(*keys, left_ts, *kept, *[F.col(f"_found.{v}").alias(v) for v in values])

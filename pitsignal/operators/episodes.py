@@ -12,6 +12,7 @@ from pitsignal.functions.clock import SessionSpec
 from pitsignal.functions.numeric import EPS, expected_return, finite, guarded_return
 from pitsignal.operators.asof import asof_backward
 from pitsignal.schemas import require_columns, require_positive
+from pitsignal.session import cut_lineage
 
 
 def day_facts(bars: DataFrame, spec: SessionSpec) -> DataFrame:
@@ -74,13 +75,21 @@ def raw_episodes(
     symbols: Sequence[str],
     spec: SessionSpec,
     premarket_gate: bool = True,
+    cut: bool = True,
 ) -> DataFrame:
     """Join driver and equity facts per session and drop sessions with a missing boundary.
 
     `sessions` is any frame with `session_date`: business days for research, days that have bars
     for the live feature. Optional boundaries (open, confirm, decision, horizons) stay nullable.
+
+    The facts have one row per (symbol, day) and feed three branches, so they are checkpointed
+    (`cut`): the bars of the universe are scanned once and everything after works on the facts.
+    The as-of path reads the driver's bars alone, which a symbol-partitioned table prunes to.
     """
-    equity = with_prior_close(day_facts(bars.where(F.col("symbol").isin(list(symbols))), spec))
+    facts = day_facts(bars.where(F.col("symbol").isin([driver, *symbols])), spec)
+    if cut:
+        facts = cut_lineage(facts)
+    equity = with_prior_close(facts.where(F.col("symbol").isin(list(symbols))))
     equity = equity.join(sessions.select("session_date"), "session_date", "left_semi")
     if premarket_gate:
         equity = equity.where(F.col("premarket_bars") > 0)
@@ -89,7 +98,7 @@ def raw_episodes(
     ).withColumn("driver", F.lit(driver))
 
     driver_bars = bars.where(F.col("symbol") == driver)
-    driver_at_freeze = day_facts(driver_bars, spec).select("session_date", F.col("freeze_price").alias("driver_end"))
+    driver_at_freeze = facts.where(F.col("symbol") == driver).select("session_date", F.col("freeze_price").alias("driver_end"))
     path = driver_bars.where(finite(F.col("close")).isNotNull()).select(
         F.col("symbol").alias("driver"), F.col("ts").alias("driver_ts"), F.col("close").alias("driver_start")
     )

@@ -44,22 +44,29 @@ def perturbed_quotes(rows: DataFrame, *, seed: int) -> DataFrame:
     bid, ask = c("bid").cast("double"), c("ask").cast("double")
     mid = (bid + ask) / 2 * (1 + draw(0, c("band.midpoint_fraction")))
     half = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), (ask - bid) / 2) * (1 + draw(1, c("band.spread_fraction"))))
-    new_bid = quote_quantum(F.greatest(F.lit(0.01), mid - half))
-    new_ask = F.greatest(quote_quantum(F.greatest(c("_bid").cast("double"), mid + half)), c("_bid"))
     magnitude = F.abs(c("delta")).cast("double") + draw(2, c("band.delta_absolute"))
     clamped = F.round(F.least(F.lit(0.999999), F.greatest(F.lit(0.000001), magnitude)), 6)
     sign = F.when(c("delta") >= 0, 1.0).otherwise(-1.0)
+    new_delta = F.when(c("delta").isNotNull(), (sign * clamped).cast(DELTA))
+    new_bid = quote_quantum(F.greatest(F.lit(0.01), c("_q.mid") - c("_q.half")))
+    new_ask = F.greatest(quote_quantum(F.greatest(c("_bid").cast("double"), c("_q.mid") + c("_q.half"))), c("_bid"))
+    quotes = F.struct(mid.alias("mid"), half.alias("half"), new_delta.alias("delta"))
+    kept = [name for name in rows.columns if name not in ("bid", "ask", "delta")]
     return (
-        rows.withColumn("_digest", digest)
-        .withColumn("_bid", new_bid)
-        .withColumn("_ask", new_ask)
-        .withColumn("delta", F.when(c("delta").isNotNull(), (sign * clamped).cast(DELTA)))
-        .withColumn("bid", c("_bid"))
-        .withColumn("ask", c("_ask"))
-        .drop("_digest", "_bid", "_ask")
+        _once(_once(_once(rows, "_digest", digest), "_q", quotes), "_bid", new_bid)
+        .select(*kept, c("_bid").alias("bid"), new_ask.alias("ask"), c("_q.delta").alias("delta"))
     )
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    Later filters on a projected column would be pushed below it with the whole expression copied
+    into every use; a one-element generator keeps the value and stops that.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _band_rows(chain: DataFrame, bands: Sequence[Band], trials: int) -> DataFrame:
     entries = [
         F.struct(
