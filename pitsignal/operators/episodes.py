@@ -39,16 +39,14 @@ def day_facts(bars: DataFrame, spec: SessionSpec) -> DataFrame:
         F.count(F.when(premarket, 1)).alias("premarket_bars"),
     ]
     for name, minute in spec.boundaries().items():
-        here = clock.at_minute(us, minute)
+        here = f"_us = {minute * 60_000_000}L"
         aggregates += [
-            F.count(F.when(here, 1)).alias(f"_n_{name}"),
-            F.max(F.when(here, F.col("open"))).alias(f"_p_{name}"),
+            F.expr(f"count(CASE WHEN {here} THEN 1 END) AS _n_{name}"),
+            F.expr(f"max(CASE WHEN {here} THEN open END) AS _p_{name}"),
         ]
     facts = timed.groupBy("symbol", "session_date").agg(*aggregates)
-    prices = [
-        F.when(F.col(f"_n_{name}") == 1, F.col(f"_p_{name}")).alias(f"{name}_price") for name in spec.boundaries()
-    ]
-    return facts.select("symbol", "session_date", "regular_close_ts", "regular_close", "premarket_bars", *prices)
+    prices = [f"CASE WHEN _n_{name} = 1 THEN _p_{name} END AS {name}_price" for name in spec.boundaries()]
+    return facts.selectExpr("symbol", "session_date", "regular_close_ts", "regular_close", "premarket_bars", *prices)
 
 
 def with_prior_close(facts: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def research(frames: DataFrame, config: WalkForwardConfig, *, required: Sequence
     kept = cut_lineage(frames.where(F.col("symbol").isin([*required, control])))
     cover = coverage(kept)
     cap = capacity(cover, config)
-    evaluation = walk_forward(kept, config, cut=False)
+    evaluation = walk_forward(kept, config, cut=False).settled()
     floor = cap.select("min_total_signals").scalar()
     enough = cap.select("enough_history").scalar()
     checks = promotion_checks(

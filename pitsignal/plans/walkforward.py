@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,19 +112,13 @@ def fold_rows(clean: DataFrame, sessions: DataFrame, folds: DataFrame) -> DataFr
         member.withColumn("is_train", is_train)
         .withColumn("train_mean", F.avg(train_residual).over(group))
         .withColumn("train_std", F.stddev_samp(train_residual).over(group))
-        .drop("train_end_rank", "test_end_rank")
+        .withColumn("zscore", zscore(F.col("residual"), F.col("train_mean"), F.col("train_std")))
+        .drop("train_end_rank", "test_end_rank", "train_mean", "train_std")
     )
 
 
-def score(normalization: str) -> Column:
-    if normalization == "raw":
-        return F.col("residual")
-    return zscore(F.col("residual"), F.col("train_mean"), F.col("train_std"))
-
-
-def _signed(normalization: str, threshold: float, horizon: str) -> Column:
-    value = score(normalization)
-    return gated(value, F.lit(threshold), F.signum(value) * F.col(horizon))
+# normalization -> the column of the fold rows that holds its score
+SCORES = {"raw": "residual", "zscore": "zscore"}
 
 
 def score_candidates(rows: DataFrame, config: WalkForwardConfig) -> DataFrame:
@@ -137,31 +131,22 @@ def score_candidates(rows: DataFrame, config: WalkForwardConfig) -> DataFrame:
     shapes = [(n, config.level(n, t), h) for n in config.normalizations for t in config.thresholds for h in config.horizons]
     measures = []
     for i, (norm, level, horizon) in enumerate(shapes):
-        signed = _signed(norm, level, horizon)
-        measures += [F.count(signed).alias(f"_n{i}"), F.avg(signed).alias(f"_a{i}"), F.percentile(signed, 0.5).alias(f"_m{i}")]
+        value = SCORES[norm]
+        signed = f"CASE WHEN abs({value}) >= {level}D THEN signum({value}) * {horizon} END"
+        measures += [F.expr(f"count({signed}) AS _n{i}"), F.expr(f"avg({signed}) AS _a{i}"), F.expr(f"percentile({signed}, 0.5) AS _m{i}")]
     train = rows.where("is_train").groupBy("symbol", "fold_id", "lookback").agg(*measures)
-    per_lookback = len(config.theses) * len(shapes)
     entries = []
     for k, thesis in enumerate(config.theses):
-        flip = -1.0 if thesis == "reversion" else 1.0
+        flip = "-1D" if thesis == "reversion" else "1D"
         for i, (norm, level, horizon) in enumerate(shapes):
             entries.append(
-                F.struct(
-                    F.lit(thesis).alias("thesis"),
-                    F.lit(norm).alias("normalization"),
-                    F.lit(level).cast("double").alias("threshold"),
-                    F.lit(horizon).alias("horizon"),
-                    F.lit(k * len(shapes) + i).alias("_inner"),
-                    F.col(f"_n{i}").alias("train_count"),
-                    (F.col(f"_a{i}") * flip + 0.0).alias("train_mean"),
-                    (F.col(f"_m{i}") * flip + 0.0).alias("train_median"),
-                )
+                f"struct('{thesis}' AS thesis, '{norm}' AS normalization, {level}D AS threshold, '{horizon}' AS horizon, "
+                f"{k * len(shapes) + i} AS inner_order, _n{i} AS train_count, _a{i} * {flip} + 0D AS train_mean, _m{i} * {flip} + 0D AS train_median)"
             )
     return (
-        train.select("symbol", "fold_id", "lookback", F.explode(F.array(*entries)).alias("_c"))
-        .select("symbol", "fold_id", "lookback", "_c.*")
-        .withColumn("grid_order", F.col("lookback") * per_lookback + F.col("_inner"))
-        .drop("_inner")
+        train.selectExpr("symbol", "fold_id", "lookback", f"explode(array({', '.join(entries)})) AS _c")
+        .selectExpr("symbol", "fold_id", "lookback", "_c.*", f"lookback * {len(entries)} + _c.inner_order AS grid_order")
+        .drop("inner_order")
     )
 
 
@@ -188,7 +173,7 @@ def select_configs(candidates: DataFrame, folds: DataFrame, config: WalkForwardC
 def test_signals(rows: DataFrame, selected: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """Out-of-sample signed returns under each fold's own selection."""
     test = rows.where("not is_train").join(selected, ["symbol", "fold_id", "lookback"])
-    value = F.when(F.col("normalization") == "raw", score("raw")).otherwise(score("zscore"))
+    value = F.coalesce(*[F.when(F.col("normalization") == n, F.col(c)) for n, c in SCORES.items()])
     forward = F.coalesce(*[F.when(F.col("horizon") == h, F.col(h)) for h in config.horizons])
     signed = F.signum(value) * forward * F.when(F.col("thesis") == "reversion", -1.0).otherwise(1.0)
     return (
@@ -222,12 +207,20 @@ class WalkForward:
     signals: DataFrame
     results: DataFrame
 
+    def settled(self) -> WalkForward:
+        """The same tables with folds, selection and signals checkpointed: one row per fold or signal,
+        each read by several later tables."""
+        folds, selected = cut_lineage(self.folds), cut_lineage(self.selected)
+        signals = cut_lineage(self.signals)
+        return replace(self, folds=folds, selected=selected, signals=signals, results=fold_results(folds, selected, signals))
+
 
 def walk_forward(frames: DataFrame, config: WalkForwardConfig, *, cut: bool = True) -> WalkForward:
     """Evaluate every symbol of the frame, the control series among them, in one plan.
 
     The cleaned frame is read by sessions, folds and rows. It has one row per (symbol, lookback,
-    session), so it is checkpointed once (`cut`) instead of rebuilding the episodes from bars.
+    session), so it is checkpointed once (`cut`) instead of rebuilding the episodes from bars; a
+    caller that has checkpointed its frames passes False.
     """
     clean = clean_frames(frames, config)
     if cut:
@@ -250,7 +243,7 @@ def pooled_summary(frames: DataFrame, signals: DataFrame) -> DataFrame:
 def evaluate(frames: DataFrame, config: WalkForwardConfig, *, control: str | None) -> tuple[WalkForward, DataFrame]:
     """The evaluation tables and the verdict table with its checks, one row per symbol."""
     kept = cut_lineage(frames)
-    run = walk_forward(kept, config, cut=False)
+    run = walk_forward(kept, config, cut=False).settled()
     checks = promotion_checks(pooled_summary(kept, run.signals), run.results, config, control=control)
     return run, verdicts(checks)
 
