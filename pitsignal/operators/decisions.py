@@ -167,14 +167,17 @@ def evidence_complete(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
 def context_digest(items: DataFrame, keys: Sequence[str], order: str, content: str, *, limit: int = 1600) -> DataFrame:
     """JSON array of the items in order, cut to `limit` characters.
 
-    An item takes two characters at least (its own and a separator), so items past `limit` cannot
-    show; the rank filter is applied before the shuffle and only that many are ever collected.
+    An item takes two characters at least (its own and a separator), so items past half the limit
+    cannot show; the rank filter is applied before the shuffle and only that many are collected.
     """
     keys = list(keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    # the cut of one item keeps whole what the overall cut can still show
-    head = F.substring(json_ascii(F.coalesce(F.to_json(F.try_parse_json(content)), F.to_json(F.array(content)).substr(F.lit(2), F.char_length(F.to_json(F.array(content))) - 2))), 1, limit)
-    few = items.withColumn("_rank", rank).where(F.col("_rank") <= limit).select(*keys, "_rank", head.alias("_text"))
+    as_list = F.to_json(F.array(content))
+    quoted = as_list.substr(F.lit(2), F.char_length(as_list) - 2)
+    # content that is JSON stays JSON, other text becomes a JSON string; the cut of one item keeps
+    # whole what the overall cut can still show
+    head = F.substring(json_ascii(F.coalesce(F.to_json(F.try_parse_json(content)), quoted)), 1, limit)
+    few = items.withColumn("_rank", rank).where(F.col("_rank") <= limit // 2 + 1).select(*keys, "_rank", head.alias("_text"))
     joined = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", "_text"))).alias("_items"))
     body = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda e: e["_text"]), ","), F.lit("]"))
     return joined.select(*keys, F.substring(body, 1, limit).alias("digest"))

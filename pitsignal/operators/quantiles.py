@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 4.0 / _ACCURACY
+_BINS = 1024
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group, one column per requested quantile.
 
-    A mergeable sketch brackets each quantile; values below the bracket are only counted and the
-    few inside it are ranked exactly, so no task sees a whole group. Equal values are merged
-    before the shuffle. A bracket that misses its rank raises, so a result is never approximate.
+    A mergeable sketch brackets each quantile; values below the bracket are only counted, the few
+    inside it are spread over bins and ranked exactly, so no task sees a whole group. Equal values
+    are merged before the shuffle. A bracket that misses its rank raises, so a result is never approximate.
     """
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
@@ -48,15 +49,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
 
     counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = counted.join(brackets, keys)
-    # one row stands for everything below the bracket, then the values inside in order
+    # one row (bin -1) stands for everything below the bracket; the values inside are spread over
+    # bins, ranked per bin, and lifted by the counts of the bins before
+    width = F.col("hi") - F.col("lo")
+    at = F.floor(F.when(width > 0, (x - F.col("lo")) / width * _BINS).otherwise(0.0))
+    group = [*keys, "name"]
     inside = (
         placed.where(x <= F.col("hi"))
-        .withColumn("_v", F.when(x >= F.col("lo"), x))
-        .groupBy(*keys, "name", "rank", "_v")
+        .withColumn("_bin", F.when(x >= F.col("lo"), at).otherwise(-1))
+        .withColumn("_v", F.when(F.col("_bin") >= 0, x))
+        .groupBy(*group, "rank", "_bin", "_v")
         .agg(F.sum("_c").alias("_c"))
     )
-    order = Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first())
-    running = inside.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = inside.groupBy(*group, "_bin").agg(F.sum("_c").alias("_size")).select(
+        *group, "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    order = Window.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = inside.join(offsets, [*group, "_bin"]).withColumn("_upto", F.col("_offset") + F.sum("_c").over(order))
     low, high = F.floor("rank"), F.ceil("rank")
     holds = lambda at: (F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)
     picked = running.groupBy(*keys, "name", "rank").agg(

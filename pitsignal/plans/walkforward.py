@@ -262,19 +262,12 @@ CHECKS = (
 def promotion_checks(
     pooled: DataFrame, results: DataFrame, config: WalkForwardConfig, *, control: str | None, min_signals: Column | None = None
 ) -> DataFrame:
-    """The six checks per symbol; the control's own row is dropped.
-
-    The control mean reaches the other rows as a window maximum over the one-row-per-symbol
-    table, so no join is needed.
-    """
+    """The six checks per symbol; the control's own row is dropped and its mean is a scalar subquery."""
     positive = results.groupBy("symbol").agg(
         F.count(F.when(F.col("mean") > 0, 1)).alias("positive_folds"), F.count(F.lit(1)).alias("fold_count")
     )
     table = pooled.join(positive, "symbol", "left").fillna({"positive_folds": 0, "fold_count": 0})
-    everything = Window.partitionBy(F.lit(1))
-    control_mean = (
-        F.max(F.when(F.col("symbol") == control, F.col("mean"))).over(everything) if control else F.lit(None).cast("double")
-    )
+    control_mean = pooled.where(F.col("symbol") == control).select("mean").scalar() if control else F.lit(None).cast("double")
     table = table.withColumn("control_mean", control_mean)
     if control:
         table = table.where(F.col("symbol") != control)
