@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -206,13 +206,14 @@ class WalkForward:
     selected: DataFrame
     signals: DataFrame
     results: DataFrame
+    signals_of: Callable[[DataFrame], DataFrame]
 
     def settled(self) -> WalkForward:
-        """The same tables with folds, selection and signals checkpointed: one row per fold or signal,
-        each read by several later tables."""
-        folds, selected = cut_lineage(self.folds), cut_lineage(self.selected)
-        signals = cut_lineage(self.signals)
-        return replace(self, folds=folds, selected=selected, signals=signals, results=fold_results(folds, selected, signals))
+        """The same tables with the selection and the test signals checkpointed: one row per fold or
+        signal, and several later tables read them."""
+        selected = cut_lineage(self.selected)
+        signals = cut_lineage(self.signals_of(selected))
+        return replace(self, selected=selected, signals=signals, results=fold_results(self.folds, selected, signals))
 
 
 def walk_forward(frames: DataFrame, config: WalkForwardConfig, *, cut: bool = True) -> WalkForward:
@@ -230,8 +231,12 @@ def walk_forward(frames: DataFrame, config: WalkForwardConfig, *, cut: bool = Tr
     rows = fold_rows(clean, sessions, folds)
     candidates = score_candidates(rows, config)
     selected = select_configs(candidates, folds, config)
-    signals = test_signals(rows, selected, config)
-    return WalkForward(sessions, folds, candidates, selected, signals, fold_results(folds, selected, signals))
+
+    def signals_of(chosen: DataFrame) -> DataFrame:
+        return test_signals(rows, chosen, config)
+
+    signals = signals_of(selected)
+    return WalkForward(sessions, folds, candidates, selected, signals, fold_results(folds, selected, signals), signals_of)
 
 
 def pooled_summary(frames: DataFrame, signals: DataFrame) -> DataFrame:
