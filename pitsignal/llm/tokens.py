@@ -8,8 +8,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-REMEMBERED = 400_000  # chunks kept per worker; the others are encoded once per batch
+REMEMBERED = 700_000  # chunks kept per worker; the others are encoded once per batch
 JOINED = 2_000
+BATCH_CHARS = 2_000_000
 
 # white space other than U+0020 and U+0009..U+000D, which chunk borders do not know
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -21,7 +22,7 @@ class ChunkEncoder:
     Both vocabularies cut a text before white space that follows a visible character, whatever
     stands around it. A text is therefore the concatenation of such chunks, and a chunk seen before
     need not be encoded again. New chunks of a batch are encoded together, separated by `mark`, an
-    added token that always splits a text. Texts with the mark's opening or with other white space
+    added token that always splits a text, or as running text where the ids show the borders. Texts with the mark's opening or with other white space
     are encoded whole. Ids are unsigned 16-bit integers.
     """
 
@@ -32,6 +33,14 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._mark, self._mark_id = mark, self._tokenizer.token_to_id(mark)
         self._cut: Callable[[str], list[str]] = re.compile(r"\s*\S+|\s+").findall if spaces_count else str.split
+        # Latin letters and a full stop or comma: in running text the first id of such a word with its
+        # space is the only one that starts with the space, its last id and the stop's the only ones that end a word
+        self._plain = re.compile(("[ ]" if spaces_count else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+        self._glue = "" if spaces_count else " "
+        self._spaces_count = spaces_count
+        self._edge = np.zeros(1 << 16, dtype=bool)
+        for token, i in self._tokenizer.get_vocab().items():
+            self._edge[i] = token.startswith("Ġ") if spaces_count else token.endswith("</w>")
         self._known: dict[str, bytes] = {}
         self._remembered = remembered
 
@@ -40,40 +49,64 @@ class ChunkEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and size < BATCH_CHARS:
+                size += len(texts[upto] or "")
+                upto += 1
+            out += self._batch(texts[at:upto])
+            at = upto
+        return out
+
+    def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        known = self._known
         odd = [bool(t) and ("<|" in t or _ODD_SPACE.search(t) is not None) for t in texts]
         cut = [[] if o or not t else self._cut(t) for t, o in zip(texts, odd)]
-        new = set().union(*cut)
-        new.difference_update(self._known)
-        fresh: dict[str, bytes] = {}
-        rest = list(new)
-        for at in range(0, len(rest), JOINED):
-            part = rest[at : at + JOINED]
-            ids = self._whole([self._mark.join(part)])[0]
-            begin = 0
-            ends = np.flatnonzero(np.frombuffer(ids, dtype="<u2") == self._mark_id) * 2
-            for chunk, end in zip(part, [*ends.tolist(), len(ids)]):
-                fresh[chunk] = ids[begin:end]
-                begin = end + 2
-        if len(self._known) < self._remembered:
-            self._known.update(fresh)
-            lookup = self._known
-        else:
-            lookup = _Both(self._known, fresh)
-        out = [b"".join(map(lookup.__getitem__, chunks)) for chunks in cut]
+        parts = [list(map(known.get, chunks)) for chunks in cut]
+        holes = [[i for i, ids in enumerate(own) if ids is None] for own in parts]
+        new = list({chunks[i] for chunks, own in zip(cut, holes) for i in own})
+        plain = [c for c in new if self._plain(c)]
+        fresh = self._encode_new(plain, self._between_plain)
+        fresh.update(self._encode_new([c for c in new if c not in fresh], self._between_marks))
+        for chunks, own, places in zip(cut, parts, holes):
+            for i in places:
+                own[i] = fresh[chunks[i]]
+        if len(known) < self._remembered:
+            known.update(fresh)
+        out = list(map(b"".join, parts))
         for i in np.flatnonzero(odd).tolist():
             out[i] = self._whole([texts[i]])[0]
         return out
 
-
-class _Both(dict):
-    """The chunks of one batch, and the remembered ones behind them."""
-
-    def __init__(self, known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-        super().__init__(fresh)
-        self._behind = known
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self._behind[chunk]
+    def _encode_new(self, chunks: list[str], together: Callable[[list[str]], tuple[bytes, list[int]]]) -> dict[str, bytes]:
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            ids, bounds = together(part)
+            for chunk, begin, end in zip(part, bounds, bounds[1:]):
+                fresh[chunk] = ids[begin:end]
+        return fresh
+
+    def _between_marks(self, chunks: list[str]) -> tuple[bytes, list[int]]:
+        """Ids of any chunks, a mark before each of them, and where in the bytes each begins, and ends the last."""
+        ids = np.frombuffer(self._whole([self._mark + self._mark.join(chunks)])[0], dtype="<u2")
+        marks = np.flatnonzero(ids == self._mark_id)
+        bounds = (marks - np.arange(len(marks))) * 2
+        return ids[ids != self._mark_id].tobytes(), [*bounds.tolist(), 2 * (len(ids) - len(marks))]
+
+    def _between_plain(self, chunks: list[str]) -> tuple[bytes, list[int]]:
+        """The same for words of letters, as one running text: ids tell by themselves where a word begins or ends."""
+        ids = self._whole([self._glue.join(chunks)])[0]
+        edges = np.flatnonzero(self._edge[np.frombuffer(ids, dtype="<u2")]) * 2
+        if self._spaces_count:
+            bounds = [*edges.tolist(), len(ids)]
+        else:
+            pieces = np.cumsum([1 + (c[-1] in ".,") for c in chunks]) - 1
+            bounds = [0, *(edges[pieces] + 2).tolist()]
+        assert len(bounds) == len(chunks) + 1 and bounds[-1] == len(ids)
+        return ids, bounds
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
