@@ -16,6 +16,7 @@ from pitsignal.session import scratch_path
 END_ID = 2
 BLOCK_IDS = 1 << 20  # ids of a block, at least one item
 FILE_IDS = 1 << 24  # ids aimed at in a file
+BROADCAST_BLOCKS = 100_000  # up to so many blocks (of 16 bytes) their offsets are broadcast, beyond that joined by shuffle
 
 # fixed tables: the four 2-bit codes of a control byte as byte counts, and what a value of so many bytes keeps
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -91,7 +92,7 @@ def write_token_files(evidence: DataFrame, path: str, vocabulary: str, *, end_id
     spark = evidence.sparkSession
     kind = dict(evidence.dtypes)["item_id"]
     staged = scratch_path(spark, "tokens")
-    tokenize(evidence, vocabulary, end_id).write.option("compression", "zstd").parquet(staged)
+    tokenize(evidence, vocabulary, end_id).write.parquet(staged)
     tokens = spark.read.parquet(staged)
     # at most one row per id of the vocabulary
     counts = sorted(id_counts(tokens).collect(), key=lambda r: (-r["n"], r["id"]))
@@ -140,6 +141,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     for r in spark.read.parquet(f"{path}/ranks").collect():
         ids[r["rank"]] = r["id"]
 
+    sizes = written.select("file", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = sizes.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_in_file"))
+    # one row per file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = sizes.groupBy("file").agg(F.sum("n").alias("n"))
+    of_file = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_of_file"))
+    offsets = in_file.join(of_file, "file").select("file", "block", (F.col("_in_file") + F.col("_of_file")).alias("offset"))
+    if written.count() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -147,15 +159,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 values = ids[decode_block(row.control, row.data, int(counts.sum()))]
                 ends = np.cumsum(counts)
                 texts = [values[a:b].tobytes() for a, b in zip(ends - counts, ends)]
-                yield pd.DataFrame({"file": row.file, "block": row.block, "item_id": list(row.items), "before": ends - counts, "n_tokens": counts, "ids": texts})
+                yield pd.DataFrame({"item_id": list(row.items), "start": row.offset + ends - counts, "n_tokens": counts, "ids": texts})
 
-    items = written.mapInPandas(decode, f"file int, block int, item_id {kind}, before long, n_tokens long, ids binary")
-    sizes = written.select("file", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    in_file = sizes.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_in_file"))
-    # one row per file
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = sizes.groupBy("file").agg(F.sum("n").alias("n"))
-    of_file = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_of_file"))
-    offsets = in_file.join(of_file, "file").select("file", "block", (F.col("_in_file") + F.col("_of_file")).alias("_offset"))
-    return items.join(offsets, ["file", "block"]).select("item_id", (F.col("_offset") + F.col("before")).alias("start"), "n_tokens", "ids")
+    placed = written.join(offsets, ["file", "block"]).select("items", "counts", "control", "data", "offset")
+    return placed.mapInPandas(decode, f"item_id {kind}, start long, n_tokens long, ids binary")

@@ -8,12 +8,15 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-REMEMBERED = 700_000  # chunks kept per worker; the others are encoded once per batch
+REMEMBERED = 1_000_000  # chunks kept per worker; the others are encoded once per batch
 JOINED = 2_000
 BATCH_CHARS = 2_000_000
 
-# white space other than U+0020 and U+0009..U+000D, which chunk borders do not know
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# white space other than U+0020 and U+0009..U+000D, which chunk borders do not know, the chunk sign, the mark's opening
+_ODD = ("<|", *"\0\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+# a space beside other white space: then chunks are not simply what is between spaces
+_RUNS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_CHUNK = re.compile(r"\s*\S+|\s+")
 
 
 class ChunkEncoder:
@@ -32,12 +35,10 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._mark, self._mark_id = mark, self._tokenizer.token_to_id(mark)
-        self._cut: Callable[[str], list[str]] = re.compile(r"\s*\S+|\s+").findall if spaces_count else str.split
+        self._spaces_count = spaces_count
         # Latin letters and a full stop or comma: in running text the first id of such a word with its
         # space is the only one that starts with the space, its last id and the stop's the only ones that end a word
-        self._plain = re.compile(("[ ]" if spaces_count else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
-        self._glue = "" if spaces_count else " "
-        self._spaces_count = spaces_count
+        self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
         self._edge = np.zeros(1 << 16, dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
             self._edge[i] = token.startswith("Ġ") if spaces_count else token.endswith("</w>")
@@ -47,6 +48,16 @@ class ChunkEncoder:
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, text: str) -> list[str]:
+        """Chunks of a text; where spaces count, a chunk stands for a space and itself, or starts with "\0" and stands without."""
+        if not self._spaces_count:
+            return text.split()
+        if text[0] != " " and text[-1] != " " and not any(map(text.__contains__, _RUNS)):
+            chunks = text.split(" ")
+            chunks[0] = "\0" + chunks[0]
+            return chunks
+        return [c[1:] if c[0] == " " else "\0" + c for c in _CHUNK.findall(text)]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
         out: list[bytes] = []
@@ -62,7 +73,7 @@ class ChunkEncoder:
 
     def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
         known = self._known
-        odd = [bool(t) and ("<|" in t or _ODD_SPACE.search(t) is not None) for t in texts]
+        odd = [bool(t) and any(map(t.__contains__, _ODD)) for t in texts]
         cut = [[] if o or not t else self._cut(t) for t, o in zip(texts, odd)]
         parts = [list(map(known.get, chunks)) for chunks in cut]
         holes = [[i for i, ids in enumerate(own) if ids is None] for own in parts]
@@ -84,7 +95,7 @@ class ChunkEncoder:
         fresh: dict[str, bytes] = {}
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            ids, bounds = together(part)
+            ids, bounds = together([c[1:] if c[0] == "\0" else " " + c for c in part] if self._spaces_count else part)
             for chunk, begin, end in zip(part, bounds, bounds[1:]):
                 fresh[chunk] = ids[begin:end]
         return fresh
@@ -98,7 +109,7 @@ class ChunkEncoder:
 
     def _between_plain(self, chunks: list[str]) -> tuple[bytes, list[int]]:
         """The same for words of letters, as one running text: ids tell by themselves where a word begins or ends."""
-        ids = self._whole([self._glue.join(chunks)])[0]
+        ids = self._whole([("" if self._spaces_count else " ").join(chunks)])[0]
         edges = np.flatnonzero(self._edge[np.frombuffer(ids, dtype="<u2")]) * 2
         if self._spaces_count:
             bounds = [*edges.tolist(), len(ids)]
