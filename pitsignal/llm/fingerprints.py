@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitsignal.llm.runs import constant, id_bounds, run_of
 from pitsignal.llm.words import words
 
 SHINGLE = 5
@@ -30,10 +30,6 @@ def _probes() -> tuple[list[int], list[int]]:
 _STEP, _START = _probes()
 
 
-def _constant(values: list[int], kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), kind)
-
-
 def _bin(value: Column) -> Column:
     return F.shiftright(value, SHIFT)
 
@@ -54,12 +50,12 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     word, n = F.col(w), F.size(w)
     shingles = F.transform(word, lambda x, i: F.xxhash64(x, *[F.get(word, i + j) for j in range(1, SHINGLE)]))
     hashes = F.when(n >= SHINGLE, F.slice(shingles, 1, F.greatest(n - (SHINGLE - 1), F.lit(1)))).otherwise(F.array(F.xxhash64(word)))
-    df = df.select(*kept, n.alias(k), F.sort_array(F.concat(hashes, _constant(_TOP, "array<bigint>"))).alias(s))
+    df = df.select(*kept, n.alias(k), F.sort_array(F.concat(hashes, constant(_TOP, "array<bigint>"))).alias(s))
     ordered = F.col(s)
     first = F.filter(ordered, lambda x, i: F.coalesce(_bin(x) != _bin(F.get(ordered, i - 1)), F.lit(True)))
     df = df.select(*kept, k, first.alias(m))
     minima = F.col(m)
-    top, step, start = _constant(_TOP, "array<bigint>"), _constant(_STEP, "array<int>"), _constant(_START, "array<int>")
+    top, step, start = constant(_TOP, "array<bigint>"), constant(_STEP, "array<int>"), constant(_START, "array<int>")
 
     def at(bin_no: Column) -> Column:
         value = F.get(minima, bin_no)
@@ -114,30 +110,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(blank_a | blank_b, (blank_a & blank_b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), corrected)))
 
 
-def _bounds(items: DataFrame, rows: int) -> tuple[int | None, list[int]]:
-    """The least id, and ids that divide the table into runs of about `rows` rows; each is an id of the table."""
-    n = items.count()
-    parts = min(1 << 16, -(-n // rows))
-    if parts < 2:
-        return items.agg(F.min("item_id")).first()[0], []
-    cuts = F.percentile_approx("item_id", [i / parts for i in range(1, parts)], F.lit(min(10 * parts, 1 << 20)))
-    found = items.agg(cuts.alias("cuts"), F.min("item_id").alias("least")).first()
-    return found["least"], sorted({c for c in found["cuts"] or [] if c > found["least"]})
-
-
-def _run(item_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the id, in two steps of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = _constant([g[0] for g in groups], "array<bigint>")
-    count = lambda array: F.size(F.filter(array, lambda b: b <= item_id))
-    group = count(heads)
-    inside = count(F.get(_constant(groups, "array<array<bigint>>"), group - 1))
-    return F.when(item_id.isNull() | (group == 0), 0).otherwise((group - 1) * width + inside)
-
-
 def fingerprint_evidence(evidence: DataFrame, *, rows: int = ROWS) -> DataFrame:
     """Fingerprint of every evidence item and of its text edited with the next item's.
 
@@ -155,8 +127,8 @@ def fingerprint_evidence(evidence: DataFrame, *, rows: int = ROWS) -> DataFrame:
     of the next run, which comes from one row per run.
     """
     base = evidence.select("item_id", F.coalesce("content", F.lit("")).alias("_text"))
-    least, bounds = _bounds(evidence.select("item_id"), rows)
-    runs = base.select("*", _run(F.col("item_id"), bounds).alias("_run"))
+    least, bounds = id_bounds(evidence.select("item_id"), rows)
+    runs = base.select("*", run_of(F.col("item_id"), bounds).alias("_run"))
     order = Window.partitionBy("_run").orderBy(F.col("item_id").asc_nulls_first(), "_text")
     rowed = runs.select(
         "*",
@@ -164,7 +136,7 @@ def fingerprint_evidence(evidence: DataFrame, *, rows: int = ROWS) -> DataFrame:
         F.row_number().over(order).alias("_at"),
     ).withColumn("_last", F.col("_lead").isNull())
     # a run begins with its bound, the first one with the least id, or rows without one
-    begins = F.col("item_id").isNull() | (F.col("item_id") == F.get(_constant([least or 0, *bounds], "array<bigint>"), F.col("_run")))
+    begins = F.col("item_id").isNull() | (F.col("item_id") == F.get(constant([least or 0, *bounds], "array<bigint>"), F.col("_run")))
     heads = runs.where(begins).groupBy("_run").agg(F.min_by("_text", F.struct("item_id", "_text")).alias("_head"))
     before = F.when(F.col("_run") == 0, len(bounds)).otherwise(F.col("_run") - 1)
     heads = with_fingerprint(heads.select(before.alias("_of"), "_head"), "_head", "_head_print")

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitsignal.llm.runs import id_bounds, run_of
 from pitsignal.llm.tokens import encoder
 from pitsignal.session import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 20  # ids of a block, at least one item
-FILE_IDS = 1 << 24  # ids aimed at in a file
+FILE_IDS = 1 << 22  # ids aimed at in a file
 BROADCAST_BLOCKS = 100_000  # up to so many blocks (of 16 bytes) their offsets are broadcast, beyond that joined by shuffle
 
 # fixed tables: the four 2-bit codes of a control byte as byte counts, and what a value of so many bytes keeps
@@ -85,7 +86,7 @@ def write_token_files(evidence: DataFrame, path: str, vocabulary: str, *, end_id
 
     Expects item_id and content; null content is empty (the end id alone), a null item_id comes
     first, repeated rows are all written. The folder holds two Parquet data sets: `ranks` (rank, id:
-    ids by falling frequency, then by id) and `blocks` (file, block, items, counts, control, data: a
+    ids by falling frequency, then by id) and `blocks` (file: a run of ids, block, items, counts, control, data: a
     run of items with the ranks of their ids in variable-length bytes). Parquet is the container, so
     that files can be in any store Spark reads and a lost task is written again.
     """
@@ -99,33 +100,39 @@ def write_token_files(evidence: DataFrame, path: str, vocabulary: str, *, end_id
     spark.createDataFrame([(i, r["id"]) for i, r in enumerate(counts)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(1 << 16, dtype=np.uint32)
     rank[[r["id"] for r in counts]] = np.arange(len(counts))
+    rows = tokens.count()
     files = max(1, -(-sum(r["n"] for r in counts) // file_ids))
+    _, bounds = id_bounds(tokens.select("item_id"), max(1, -(-rows // files)))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: list = []
         parts: list[np.ndarray] = []
         size = number = 0
+        file = None
 
         def block() -> pd.DataFrame:
             control, data = encode_block(rank[np.concatenate(parts)])
-            row = (number, list(items), [len(p) for p in parts], control, data)
-            return pd.DataFrame([row], columns=["block", "items", "counts", "control", "data"])
+            row = (file, number, list(items), [len(p) for p in parts], control, data)
+            return pd.DataFrame([row], columns=["file", "block", "items", "counts", "control", "data"])
 
         for batch in batches:
-            for item, ids in zip(batch["item_id"].astype(object).where(batch["item_id"].notna(), None), batch["ids"]):
+            named = batch["item_id"].astype(object).where(batch["item_id"].notna(), None)
+            for item, run, ids in zip(named, batch["file"].tolist(), batch["ids"]):
                 part = np.frombuffer(ids, dtype="<u2")
-                if parts and size + len(part) > BLOCK_IDS:
+                if parts and (run != file or size + len(part) > BLOCK_IDS):
                     yield block()
                     items, parts, size, number = [], [], 0, number + 1
+                file = run
                 items.append(item)
                 parts.append(part)
                 size += len(part)
         if parts:
             yield block()
 
-    ordered = tokens.repartitionByRange(files, "item_id").sortWithinPartitions("item_id", "ids")
-    made = ordered.mapInPandas(blocks, f"block int, items array<{kind}>, counts array<int>, control binary, data binary")
-    made.withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    filed = tokens.withColumn("file", run_of(F.col("item_id"), bounds).cast("int"))
+    ordered = filed.repartition("file").sortWithinPartitions("file", "item_id", "ids")
+    made = ordered.mapInPandas(blocks, f"file int, block int, items array<{kind}>, counts array<int>, control binary, data binary")
+    made.write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -46,7 +47,7 @@ class ChunkEncoder:
         self._remembered = remembered
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
         """Chunks of a text; where spaces count, a chunk stands for a space and itself, or starts with "\0" and stands without."""
@@ -76,7 +77,7 @@ class ChunkEncoder:
         odd = [bool(t) and any(map(t.__contains__, _ODD)) for t in texts]
         cut = [[] if o or not t else self._cut(t) for t, o in zip(texts, odd)]
         parts = [list(map(known.get, chunks)) for chunks in cut]
-        holes = [[i for i, ids in enumerate(own) if ids is None] for own in parts]
+        holes = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in parts]
         new = list({chunks[i] for chunks, own in zip(cut, holes) for i in own})
         plain = [c for c in new if self._plain(c)]
         fresh = self._encode_new(plain, self._between_plain)
