@@ -77,8 +77,8 @@ select doc_id, case when d.text is null then 0 else n.n end as n_lines, n.n - co
 from doc d join n using (r) left join kept using (r)"""
 
 
-# exponents that temper the token shares of sources and languages; drivers are levelled
-POWERS = {"tool": 0.8, "lang": 0.8, "driver": 0.5}
+# exponents that temper the token shares of sources, languages and drivers
+POWERS = {"tool": 0.9, "lang": 0.9, "driver": 0.8}
 
 
 def _mixing() -> str:

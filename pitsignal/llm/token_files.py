@@ -15,6 +15,7 @@ from pitsignal.llm.tokens import encoder
 from pitsignal.session import scratch_path
 
 END_ID = 2
+REMEMBERED = 400_000  # chunks that a worker keeps; the ids of a batch need room beside them
 BLOCK_IDS = 1 << 20  # ids of a block, at least one item
 FILE_IDS = 1 << 22  # ids aimed at in a file
 BROADCAST_BLOCKS = 100_000  # up to so many blocks (of 16 bytes) their offsets are broadcast, beyond that joined by shuffle
@@ -60,7 +61,7 @@ def tokenize(evidence: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     kind = dict(evidence.dtypes)["item_id"]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary, spaces_count=True).encode
+        encode = encoder(vocabulary, spaces_count=True, remembered=REMEMBERED).encode
         end = np.uint16(end_id).tobytes()
         for batch in batches:
             yield pd.DataFrame({"item_id": batch["item_id"], "ids": [x + end for x in encode(batch["content"].tolist())]})

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-REMEMBERED = 1_000_000  # chunks kept per worker; the others are encoded once per batch
+REMEMBERED = 700_000  # chunks kept per worker; the others are encoded once per batch
 JOINED = 2_000
 BATCH_CHARS = 2_000_000
 
@@ -124,9 +124,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, *, spaces_count: bool) -> ChunkEncoder:
+def encoder(path: str, *, spaces_count: bool, remembered: int = REMEMBERED) -> ChunkEncoder:
     """One encoder per worker process and vocabulary."""
     key = (path, spaces_count)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, spaces_count=spaces_count)
+        _ENCODERS[key] = ChunkEncoder(path, spaces_count=spaces_count, remembered=remembered)
     return _ENCODERS[key]
