@@ -96,7 +96,7 @@ class ChunkEncoder:
         fresh: dict[str, bytes] = {}
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            ids, bounds = together([c[1:] if c[0] == "\0" else " " + c for c in part] if self._spaces_count else part)
+            ids, bounds = together([c[1:] if c[:1] == "\0" else " " + c for c in part] if self._spaces_count else part)
             for chunk, begin, end in zip(part, bounds, bounds[1:]):
                 fresh[chunk] = ids[begin:end]
         return fresh
