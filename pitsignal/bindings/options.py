@@ -348,7 +348,7 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- stress
 
-TRIALS, SEED = 12, 20260901
+TRIALS, SEED = 2000, 20260901
 BUDGET = Decimal("19.00")
 
 
@@ -380,10 +380,13 @@ pert as (select chain_id as chain0, chain_id || '~' || band || '~' || trial as c
   greatest(nb, greatest(0.01, round(greatest(nb, mid + half), 2)))::decimal(18,4) as ask, ((case when delta0 >= 0 then 1 else -1 end)*round(mag, 6))::decimal(9,6) as delta from pr2)"""
 
 
-@query("F11_quote_perturbation", f"with {CTE_PERTURB} select chain0 as chain_id, symbol, band, trial, bid::double as bid, ask::double as ask, delta::double as delta from pert where trial <= 3")
+@query("F11_quote_perturbation", f"""with {CTE_PERTURB} select chain0 as chain_id, symbol, band, count(*) as trials, min(bid)::double as low_bid, max(bid)::double as high_bid, min(ask)::double as low_ask, max(ask)::double as high_ask,
+ min(delta)::double as low_delta, max(delta)::double as high_delta from pert group by all""")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stress._band_rows(chain(spark, sf_dir), stress.BANDS, 3)
-    return stress.perturbed_quotes(rows, seed=SEED).select("chain_id", "symbol", F.col("band.name").alias("band"), "trial", "bid", "ask", "delta")
+    rows = stress._band_rows(chain(spark, sf_dir), stress.BANDS, TRIALS)
+    quotes = stress.perturbed_quotes(rows, seed=SEED).select("chain_id", "symbol", F.col("band.name").alias("band"), "bid", "ask", "delta")
+    extremes = [f(c).alias(f"{n}_{c}") for c in ("bid", "ask", "delta") for n, f in (("low", F.min), ("high", F.max))]
+    return quotes.groupBy("chain_id", "symbol", "band").agg(F.count(F.lit(1)).alias("trials"), *extremes)
 
 
 CTE_STRESS = f"""{CTE_PERTURB}, {cte_eligible('pert')}, {CTE_PAIRS}, tr as (select split_part(chain_id, '~', 1) as chain_id, split_part(chain_id, '~', 2) as band, split_part(chain_id, '~', 3)::bigint as trial, * exclude (chain_id)

@@ -183,7 +183,7 @@ def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- resampling and selection
 
 NAMES = ("previous_signal", "ewma", "ridge", "regime_gate", "opening_guard", "adjudicated")
-SAMPLES, SEED, BLOCK, TRIAL_COUNT = 200, 7, 3, 25
+SAMPLES, SEED, BLOCK, TRIAL_COUNT = 20_000, 7, 3, 25
 
 
 def challengers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,40 +282,44 @@ def d19_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- prints, fills, runs
 
-@query("D20_print_coverage", f"""with {CTE_BEST}, lg as (select option_type, unnest([ls, ss]) as symbol, abs(sk - lk) as w, net from best), pr as (select distinct l_partkey::varchar as symbol from lineitem where l_shipdate >= timestamp '2000-12-01' and l_shipdate < timestamp '2001-01-01')
+@query("D20_print_coverage", f"""with {CTE_BEST}, lg as (select option_type, unnest([concat(ls, '/', 1 + ls::bigint % 12), concat(ss, '/', 1 + ss::bigint % 12)]) as symbol, abs(sk - lk) as w, net from best), pr as (select distinct concat(l_partkey, '/', month(l_shipdate)) as symbol from lineitem)
  select case option_type when 'call' then 'bullish' else 'bearish' end as direction, count(*) as legs, {r('avg(case when pr.symbol is not null then 1.0 else 0.0 end)')} as coverage, {r('avg(w::double)')} as mean_width, {r('avg(net::double)')} as mean_net_delta
  from lg left join pr using (symbol) group by 1""")
 def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = best_verticals(chain(spark, sf_dir), ["chain_id"], POLICY, now())
     legs = best.select(
-        "direction", F.explode(F.array("long_symbol", "short_symbol")).alias("symbol"),
+        "direction", F.explode(F.array(_in_month("long_symbol"), _in_month("short_symbol"))).alias("symbol"),
         F.abs(F.col("short_strike") - F.col("long_strike")).cast("double").alias("width"), F.col("net_delta").cast("double").alias("net_delta"),
     )
-    shipped = F.col("l_shipdate")
-    prints = load(spark, sf_dir, "lineitem").where((shipped >= F.lit("2000-12-01").cast("timestamp_ntz")) & (shipped < F.lit("2001-01-01").cast("timestamp_ntz")))
-    return pol.print_coverage(legs, prints.select(F.col("l_partkey").cast("string").alias("symbol")), ["direction"])
+    prints = load(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_partkey", F.month("l_shipdate")).alias("symbol"))
+    return pol.print_coverage(legs, prints, ["direction"])
+
+
+def _in_month(symbol: str):
+    """A leg's symbol with the month it was held in; prints count in that month only."""
+    return F.concat_ws("/", symbol, 1 + F.col(symbol).cast("long") % 12)
 
 
 @query("D21_activity_gate", f"""with am as (select user_id as leg, count(distinct date_trunc('minute', ts)) as m from events where ts between timestamp '2024-01-10 09:10:00' and timestamp '2024-01-12 09:40:00' group by 1),
- td as (select o_custkey % 150 as a, (o_custkey*7) % 150 as b, o_totalprice/1000 - 240 as pnl from orders where o_orderkey % 3 = 0), j as (select pnl, least(coalesce(x.m, 0), coalesce(y.m, 0)) as low, unnest([0, 3, 5, 7]) as minimum from td left join am x on x.leg = a left join am y on y.leg = b)
+ td as (select o_custkey % 150 as a, (o_custkey*7) % 150 as b, o_totalprice/1000 - 240 as pnl from orders), j as (select pnl, least(coalesce(x.m, 0), coalesce(y.m, 0)) as low, unnest([0, 3, 5, 7]) as minimum from td left join am x on x.leg = a left join am y on y.leg = b)
  select minimum, count(*) filter (where low >= minimum) as kept, round(sum(pnl) filter (where low >= minimum), 4) + 0.0 as pnl, {r('avg(case when pnl > 0 then 1.0 else 0.0 end) filter (where low >= minimum)')} as hit_rate from j group by 1""")
 def d21(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda t: F.lit(t).cast("timestamp")
     prints = load(spark, sf_dir, "events").select(F.col("user_id").alias("leg"), F.col("ts").cast("timestamp").alias("ts"))
     activity = pol.active_minutes(prints, start=stamp("2024-01-10 09:10:00"), end=stamp("2024-01-12 09:40:00"))
-    trades = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(
+    trades = load(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 150).alias("long_leg"), (F.col("o_custkey") * 7 % 150).alias("short_leg"), (F.col("o_totalprice") / 1000 - 240).alias("pnl")
     )
     return pol.activity_gate(trades, activity, (0, 3, 5, 7)).withColumn("pnl", F.round("pnl", 4))
 
 
-@query("D22_realized_spread_pnl", f"""with f as (select l_orderkey as spread_id, sum(l_quantity*(case when l_linenumber = 1 then 1 when l_linenumber = 2 then -1 end)) as debit, sum(l_quantity*(case when l_linenumber = 3 then 1 when l_linenumber = 4 then -1 end)) as credit,
- max(case when l_linenumber <= 2 then l_extendedprice/1000 end) as ol, max(case when l_linenumber in (3, 4) then l_extendedprice/1000 end) as cl from lineitem where l_linenumber <= 4 group by 1)
+@query("D22_realized_spread_pnl", f"""with f as (select l_orderkey as spread_id, sum(l_quantity*(case when l_linenumber in (1, 5) then 1 when l_linenumber in (2, 6) then -1 end)) as debit, sum(l_quantity*(case when l_linenumber in (3, 7) then 1 when l_linenumber = 4 then -1 end)) as credit,
+ max(case when l_linenumber in (1, 2, 5, 6) then l_extendedprice/1000 end) as ol, max(case when l_linenumber in (3, 4, 7) then l_extendedprice/1000 end) as cl from lineitem group by 1)
  select spread_id, {r('debit')} as debit, {r('credit')} as credit, {r('(credit - debit)*100')} as pnl, {r('(ol - debit + credit - cl)*100')} as price_improvement from f""")
 def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
-    fills = load(spark, sf_dir, "lineitem").where(n <= 4).select(
-        F.col("l_orderkey").alias("spread_id"), F.when(n <= 2, "open").otherwise("close").alias("phase"), F.when(n % 2 == 1, "long").otherwise("short").alias("leg"),
+    fills = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("spread_id"), F.when(n.isin(1, 2, 5, 6), "open").otherwise("close").alias("phase"), F.when(n % 2 == 1, "long").otherwise("short").alias("leg"),
         F.col("l_quantity").alias("fill_price"), (F.col("l_extendedprice") / 1000).alias("limit_price"),
     )
     return pol.realized_pnl(fills, ["spread_id"])
@@ -327,12 +331,12 @@ def d23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pol.frozen_config(wf(spark, sf_dir).results, year=2024, thesis="reversion")
 
 
-@query("D24_replication_diff", """with s as (select user_id as episode_id, event_id % 2 as run, event_type as action, count(*) as n from events where event_id % 50 < 20 group by all),
+@query("D24_replication_diff", """with s as (select user_id as episode_id, event_id % 2 as run, event_type as action, count(*) as n from events group by all),
  b as (select episode_id, run, max_by(action, row(n, -ascii(action), -ascii(substr(action, 2)))) as action, max(n) >= 4 as stable from s group by 1, 2)
  select coalesce(f.episode_id, g.episode_id) as episode_id, f.action as first_action, f.stable as first_stable, g.action as second_action, g.stable as second_stable
  from (select * from b where run = 0) f full join (select * from b where run = 1) g on g.episode_id = f.episode_id where f.action is distinct from g.action or f.stable is distinct from g.stable""")
 def d24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = load(spark, sf_dir, "events").where("event_id % 50 < 20").select(F.col("user_id").alias("episode_id"), (F.col("event_id") % 2).alias("run"), F.col("event_type").alias("action"))
+    runs = load(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), (F.col("event_id") % 2).alias("run"), F.col("event_type").alias("action"))
     side = lambda n: pol.action_stability(runs.where(F.col("run") == n), ["episode_id"])
     return pol.replication_diff(side(0), side(1), "episode_id")
 

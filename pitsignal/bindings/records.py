@@ -135,9 +135,9 @@ def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dec.tool_evidence(tool_calls(spark, sf_dir), TOOLS)
 
 
-@query("S14_evidence_complete", f"with {_EV}, s as (select episode_id, bool_and(allowed and fine) as ok from ev where call_no % 11 = 0 group by 1) select distinct c_custkey as episode_id, coalesce(ok, false) as complete from customer left join s on s.episode_id = c_custkey")
+@query("S14_evidence_complete", f"with {_EV}, s as (select call_no - call_no % 2 as episode_id, bool_and(allowed and fine) as ok from ev group by 1) select distinct c_custkey as episode_id, coalesce(ok, false) as complete from customer left join s on s.episode_id = c_custkey")
 def s14_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = dec.tool_evidence(tool_calls(spark, sf_dir).where("call_no % 11 = 0"), TOOLS)
+    evidence = dec.tool_evidence(tool_calls(spark, sf_dir).withColumn("episode_id", F.expr("call_no - call_no % 2")), TOOLS)
     return dec.evidence_complete(evidence, load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("episode_id")))
 
 
@@ -169,11 +169,12 @@ def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F06_secret_scan", """with t as (select doc_id, regexp_replace(text, ' (token = )', chr(10) || '\\1', 'g') as text from documents),
  l as (select doc_id, unnest(string_split(text, chr(10))) as line from t),
- v as (select doc_id, regexp_extract(line, '^[ \\t]*token[ \\t]*=[ \\t]*([^#\\r]*)', 1) as v from l where regexp_matches(line, '^[ \\t]*token[ \\t]*=[ \\t]*[^#\\r]*$'))
- select distinct doc_id, 'non-placeholder token assignment' as finding from v where trim(trim(v), '"''') <> ''""")
+ v as (select doc_id, trim(regexp_extract(line, '^[ \\t]*token[ \\t]*=([^#\\r]*)', 1), ' ' || chr(9)) as v from l where regexp_matches(line, '^[ \\t]*token[ \\t]*=[ \\t]*[^#\\r]*$'))
+ select distinct doc_id, 'assigned:token' as finding from v where trim(v, '"''') <> '' union
+ select doc_id, 'token_shape' from t where regexp_matches(text, '\\bsk-[A-Za-z0-9_-]{20,}\\b') union select doc_id, 'value_in_use' from t where contains(text, 'disgusting')""")
 def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.regexp_replace("text", " (token = )", "\n$1")
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.secret_findings(lines, ["token"])).alias("finding"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.secret_findings(lines, ["token"], ["disgusting"])).alias("finding"))
 
 
 @query("F07_context_digest", """with e as (select conv_id, turn, concat('"', array_to_string(list_transform(string_split(text, ''), lambda c: case when c = '"' then '\\"' when c = '\\' then '\\\\' when c = chr(10) then '\\n'
@@ -257,8 +258,8 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPD = """upd as (select l_orderkey + (case when l_orderkey % 97 = 0 then 1000000000 else 0 end) as id, l_linenumber as no, l_linestatus as status, case when l_linenumber % 2 = 0 then 'b' || l_suppkey end as broker,
- '{"q":' || l_quantity::int || '}' as payload, l_partkey as pk from lineitem where l_orderkey % 7 = 0),
-agg as (select id, max_by(status, row(no, pk)) as status, max_by(payload, row(no, pk)) as payload, max_by(broker, row(no, pk)) filter (where broker is not null) as broker from upd group by 1)"""
+ '{"q":' || l_quantity::int || '}' as payload, row(l_linenumber, l_partkey, l_suppkey, l_quantity) as pk from lineitem),
+agg as (select id, max_by(status, pk) as status, max_by(payload, pk) as payload, max_by(broker, pk) filter (where broker is not null) as broker from upd group by 1)"""
 
 
 @query("S13_order_update", f"""with {_UPD}, o as (select o_orderkey as id, case when o_orderkey % 3 = 0 then 'old' || o_custkey end as broker, o_orderstatus as status from orders)
@@ -270,9 +271,9 @@ def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("o_orderkey").alias("client_order_id"), F.when(c("o_orderkey") % 3 == 0, F.concat(F.lit("old"), "o_custkey")).alias("broker_order_id"),
         c("o_orderstatus").alias("status"), F.lit("{}").alias("payload_json"),
     )
-    updates = load(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(
+    updates = load(spark, sf_dir, "lineitem").select(
         (c("l_orderkey") + F.when(c("l_orderkey") % 97 == 0, 1000000000).otherwise(0)).alias("client_order_id"),
-        F.struct("l_linenumber", "l_partkey").alias("update_no"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("update_no"),
         c("l_linestatus").alias("status"),
         F.when(c("l_linenumber") % 2 == 0, F.concat(F.lit("b"), "l_suppkey")).alias("broker_order_id"),
         F.concat(F.lit('{"q":'), c("l_quantity").cast("int"), F.lit("}")).alias("payload_json"),
@@ -370,11 +371,11 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- set operations
 
-@query("U02_date_intersection", "select ts::date::varchar as session_date from events where event_type = 'purchase' and value > 120 intersect select ts::date::varchar from events where event_type = 'click' and value > 120")
+@query("U02_date_intersection", "select ts::date::varchar as session_date from events where event_type = 'purchase' intersect select (ts::date + 1)::varchar from events where event_type = 'click'")
 def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").where("value > 120")
-    days = lambda kind: events.where(F.col("event_type") == kind).select(F.to_date("ts").alias("session_date"))
-    return days("purchase").intersect(days("click"))
+    events = load(spark, sf_dir, "events")
+    days = lambda kind, later: events.where(F.col("event_type") == kind).select(F.date_add(F.to_date("ts"), later).alias("session_date"))
+    return days("purchase", 0).intersect(days("click", 1))
 
 
 @query("U03_distinct_expirations", """with d as (select distinct p_brand, 5 + p_size % 20 as dte from part) select p_brand, dte::bigint as dte, row_number() over (partition by p_brand order by dte) as position from d""")

@@ -297,6 +297,19 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research_plan.insufficient_history(research_plan.capacity(research_plan.coverage(episodes(spark, sf_dir)), default))
 
 
+ABSENT = "absent"
+
+
+@query("S10_missing_symbol", f"""with {CTE_EPISODES} {CTE_COVER}, want as (select s as symbol, n as lookback from (values ('{PRIMARY}'), ('{ABSENT}')) a(s), (values {', '.join(f'({n})' for n in LOOKBACKS)}) b(n)),
+ full_cover as (select w.symbol, w.lookback, coalesce(c.v, 0) as v from want w left join cover c using (symbol, lookback))
+ select symbol, lookback, v as valid_sessions, (select min(v) from full_cover) as valid_capacity, 'MUTATE' as verdict, 'insufficient_history' as reason from full_cover""")
+def s10_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A required symbol without any episode has coverage zero and stops the run."""
+    cover = research_plan.coverage(episodes(spark, sf_dir), [PRIMARY, ABSENT], LOOKBACKS)
+    stop = research_plan.insufficient_history(research_plan.capacity(cover, CONFIG))
+    return cover.select("symbol", "lookback", "valid_sessions", *[stop.select(c).scalar().alias(c) for c in ("valid_capacity", "verdict", "reason")])
+
+
 @query("A12_overall_verdict", f"""with {cte_checks()} select case when bool_and(verdict = 'GO') then 'GO' when bool_and(verdict = 'KILL') then 'KILL' else 'MUTATE' end as overall_verdict from vd""")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walkforward.overall_verdict(judged(spark, sf_dir), (PRIMARY, SECOND))
@@ -338,7 +351,7 @@ def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- studies
 
-HORIZON = studies.HorizonStudy(min_training=8, samples=200)
+HORIZON = studies.HorizonStudy(min_training=8, samples=10_000)
 CTE_H = f"""{CTE_EPISODES}, hs as (select symbol, d, residual, m as minutes, sign(residual)*f as signed, sign(residual)*f60 as base from (
   select *, unnest([{', '.join(map(str, HORIZONS))}]) as m, unnest([{', '.join(f'f{m}' for m in HORIZONS)}]) as f from ep
   where lookback = 8 and tc >= 8 and residual is not null and abs(residual) >= 0.01 and {_NOTNULL})),

@@ -62,14 +62,14 @@ STEPS = {"view": ("click", "purchase"), "click": ("purchase", "view", "signup"),
 _PAIRS = "(" + ", ".join(f"'{a}>{b}'" for a, t in STEPS.items() for b in t) + ")"
 
 
-@query("K04_episode_machine", f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
+@query("K04_episode_machine", f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events where epoch_ms(ts) < (select epoch_ms(max(ts)) - 900000 from events)),
  m as (select user_id, i, event_id, 'view' as s0, event_type as req, case when event_type = 'view' then 'repeat' when 'view>' || event_type in {_PAIRS} then 'applied' else 'illegal' end as o from q where i = 1
  union all select q.user_id, q.i, q.event_id, case when m.o = 'applied' then m.req else m.s0 end, q.event_type,
   case when q.event_type = (case when m.o = 'applied' then m.req else m.s0 end) then 'repeat' when (case when m.o = 'applied' then m.req else m.s0 end) || '>' || q.event_type in {_PAIRS} then 'applied' else 'illegal' end
   from m join q on q.user_id = m.user_id and q.i = m.i + 1)
  select user_id as episode_id, event_id as transition_id, s0 as from_state, req as to_state, o as outcome from m""")
 def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = events_stream(spark, sf_dir).select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("requested"))
+    requests = events_stream(spark, sf_dir).select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("requested"), "ts")
     return run_available(se.episode_steps(requests, allowed=STEPS, initial="view"), "k04")
 
 

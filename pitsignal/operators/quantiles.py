@@ -15,9 +15,11 @@ _BINS = 1024
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group, one column per requested quantile.
 
-    A mergeable sketch brackets each quantile; values below the bracket are only counted, the few
-    inside it are spread over bins and ranked exactly, so no task sees a whole group. Equal values
-    are merged before the shuffle. A bracket that misses its rank raises, so a result is never approximate.
+    A mergeable sketch brackets each quantile, and each end moves out to the next value of the group,
+    since an interpolated rank lies up to one value beside the sketch's. Values below the bracket are
+    only counted, the few inside it are spread over bins and ranked exactly, so no task sees a whole
+    group; a group of any size takes this way. Equal values are merged before the shuffle. A bracket
+    that misses its rank raises, so a result is never approximate.
     """
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
@@ -32,22 +34,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         F.min(x).alias("_min"),
         F.max(x).alias("_max"),
     )
-    # a group below the sketch's resolution is ranked whole, it is small by definition
-    small = F.col("_n") <= _ACCURACY
     wanted = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("rank"),
-                (F.col("_min") if p - _MARGIN <= 0 else F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i])).alias("lo"),
-                (F.col("_max") if p + _MARGIN >= 1 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1])).alias("hi"),
+                (F.col("_min") if p - _MARGIN <= 0 else F.col("_edges")[2 * i]).alias("lo"),
+                (F.col("_max") if p + _MARGIN >= 1 else F.col("_edges")[2 * i + 1]).alias("hi"),
             )
             for i, (name, p) in enumerate(probs.items())
         ]
     )
-    brackets = sketch.select(*keys, F.explode(wanted).alias("_q")).select(*keys, "_q.*")
+    sketched = sketch.select(*keys, F.explode(wanted).alias("_q")).select(*keys, "_q.*")
 
     counted = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    beside = counted.join(sketched, keys).groupBy(*keys, "name", "rank", "lo", "hi").agg(
+        F.max(F.when(x < F.col("lo"), x)).alias("_below"), F.min(F.when(x > F.col("hi"), x)).alias("_above")
+    )
+    brackets = beside.select(*keys, "name", "rank", F.coalesce("_below", "lo").alias("lo"), F.coalesce("_above", "hi").alias("hi"))
     placed = counted.join(brackets, keys)
     # one row (bin -1) stands for everything below the bracket; the values inside are spread over
     # bins, ranked per bin, and lifted by the counts of the bins before

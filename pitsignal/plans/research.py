@@ -14,9 +14,14 @@ from pitsignal.plans.walkforward import (
 from pitsignal.session import cut_lineage
 
 
-def coverage(frames: DataFrame) -> DataFrame:
-    """Valid residuals per symbol and lookback."""
-    return frames.groupBy("symbol", "lookback").agg(F.count("residual").alias("valid_sessions"))
+def coverage(frames: DataFrame, symbols: Sequence[str] = (), lookbacks: Sequence[int] = ()) -> DataFrame:
+    """Valid residuals per symbol and lookback; each of `symbols` has a row per lookback, zero without a session."""
+    found = frames.groupBy("symbol", "lookback").agg(F.count("residual").alias("valid_sessions"))
+    if not symbols:
+        return found
+    wanted = frames.sparkSession.createDataFrame([(s, n) for s in symbols for n in lookbacks], "symbol string, lookback int")
+    wanted = wanted.withColumn("lookback", F.col("lookback").cast(found.schema["lookback"].dataType))
+    return wanted.join(found, ["symbol", "lookback"], "left").withColumn("valid_sessions", F.coalesce("valid_sessions", F.lit(0).cast("long")))
 
 
 def signal_floor(valid_sessions):
@@ -60,7 +65,7 @@ def research(frames: DataFrame, config: WalkForwardConfig, *, required: Sequence
     session), tiny next to the bars, and every branch below reads it.
     """
     kept = cut_lineage(frames.where(F.col("symbol").isin([*required, control])))
-    cover = coverage(kept)
+    cover = coverage(kept, [*required, control], config.beta_lookbacks)
     cap = capacity(cover, config)
     evaluation = walk_forward(kept, config, cut=False).settled()
     floor = cap.select("min_total_signals").scalar()
@@ -74,7 +79,11 @@ def research(frames: DataFrame, config: WalkForwardConfig, *, required: Sequence
         .withColumn("config_hash", config.config_hash_column(F.col("min_total_signals")))
         .withColumn("verdict", F.when(enough, F.col("verdict")).otherwise("MUTATE"))
     )
-    return ResearchRun(cover, cap, evaluation, table, overall_verdict(table, required))
+    # too little history of any required symbol stops the run, whatever the others say
+    overall = overall_verdict(table, required)
+    name = overall.columns[0]
+    overall = overall.select(F.when(enough, F.col(name)).otherwise("MUTATE").alias(name))
+    return ResearchRun(cover, cap, evaluation, table, overall)
 
 
 def report_lines(table: DataFrame, results: DataFrame) -> DataFrame:

@@ -38,13 +38,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: the one the cluster names, else a local one for tests."""
+    """The folder all executors can reach: the one the cluster names, else a local one on a local master."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pitsignal-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -66,22 +66,25 @@ def collapse_duplicates(bars: DataFrame, *, strict: bool = True) -> DataFrame:
     if not strict:
         return single.where("_versions = 1").drop("_versions")
     message = F.concat(F.lit("conflicting duplicate bar: "), F.col("symbol"), F.lit(" "), F.col("ts").cast("string"))
-    # the guard sits in the symbol column, which every reader of the result needs
-    return single.select(
-        F.when(F.col("_versions") > 1, F.raise_error(message)).otherwise(F.col("symbol")).cast("string").alias("symbol"),
-        "ts",
-        *_VALUES,
-    )
+    # the guard is a filter, which no choice of columns and no count can leave out
+    return single.where(F.assert_true(F.col("_versions") == 1, message).isNull()).drop("_versions")
+
+
+# a broken page is an error
+_FAIL = {"mode": "FAILFAST"}
 
 
 def flatten_bar_payload(pages: DataFrame, payload: str = "payload", symbol: str | None = None) -> DataFrame:
-    """Bars from provider pages: `bars` is a map symbol -> array, or a bare array for one symbol."""
+    """Bars from provider pages: `bars` is a map symbol -> array, or a bare array for one symbol.
+
+    A page that is not JSON raises; it is never left out silently.
+    """
     if symbol is None:
         schema = T.StructType([T.StructField("bars", T.MapType(T.StringType(), T.ArrayType(PAYLOAD_BAR)))])
-        per_symbol = pages.select(F.explode(F.from_json(payload, schema)["bars"]).alias("symbol", "_bars"))
+        per_symbol = pages.select(F.explode(F.from_json(payload, schema, _FAIL)["bars"]).alias("symbol", "_bars"))
     else:
         schema = T.StructType([T.StructField("bars", T.ArrayType(PAYLOAD_BAR))])
-        per_symbol = pages.select(F.col(symbol).alias("symbol"), F.from_json(payload, schema)["bars"].alias("_bars"))
+        per_symbol = pages.select(F.col(symbol).alias("symbol"), F.from_json(payload, schema, _FAIL)["bars"].alias("_bars"))
     bar = per_symbol.select("symbol", F.explode("_bars").alias("_bar"))
     return bar.select(
         "symbol",

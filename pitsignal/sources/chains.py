@@ -16,10 +16,11 @@ def flatten_snapshots(pages: DataFrame, *, keep: Sequence[str] = (), payload: st
     """One row per contract of each page's symbol -> snapshot map.
 
     Contracts without a complete quote are skipped; missing greeks leave a null delta. A symbol
-    that does not carry expiry, type and strike, or a quote time without offset, is an error.
+    that does not carry expiry, type and strike, a quote time without offset, or a page that is not
+    JSON, is an error.
     """
     schema = T.StructType([T.StructField("snapshots", T.MapType(T.StringType(), PAYLOAD_SNAPSHOT))])
-    entries = pages.select(*keep, F.explode(F.from_json(payload, schema)["snapshots"]).alias("symbol", "_snap"))
+    entries = pages.select(*keep, F.explode(F.from_json(payload, schema, {"mode": "FAILFAST"})["snapshots"]).alias("symbol", "_snap"))
     quote = F.col("_snap.latestQuote")
     quoted = entries.where(quote["t"].isNotNull() & quote["bp"].isNotNull() & quote["ap"].isNotNull())
     expiration, option_type, strike = contract_terms(F.col("symbol"))

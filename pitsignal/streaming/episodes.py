@@ -16,83 +16,102 @@ TIMEOUT_SCHEMA = "order_id bigint, outcome string, at_ms bigint"
 PHASE_LIMITS = {"open": 180, "close": 120, "cancel": 30}
 
 
-def episode_steps(requests: DataFrame, *, allowed: Mapping[str, Sequence[str]], initial: str) -> DataFrame:
+def episode_steps(
+    requests: DataFrame,
+    *,
+    allowed: Mapping[str, Sequence[str]],
+    initial: str,
+    delay: str = "15 minutes",
+    retain_seconds: int | None = None,
+) -> DataFrame:
     """Apply requested transitions in id order: applied, repeat, or illegal (state unchanged).
 
-    Expects episode_id, transition_id, requested. A key's rows of one micro-batch are bounded by
-    the trigger; what is kept between batches is one state name.
+    Expects episode_id, transition_id, requested, ts. Requests may arrive out of order within the
+    delay: they wait in the state until the watermark is past their time and are then applied by id,
+    so the result does not depend on the micro-batches. A request later than the delay is applied when
+    it comes. The state holds the current name and what waits. With `retain_seconds` an episode in a
+    state without successors leaves the state when nothing has come for that time; a request after that
+    would start anew, so the time must exceed the life of an episode.
     """
     table = {state: frozenset(targets) for state, targets in allowed.items()}
+    retain = None if retain_seconds is None else retain_seconds * 1000
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else initial
-        rows = pd.concat(list(chunks)).sort_values("transition_id")
-        before, outcomes = [], []
-        for requested in rows["requested"]:
-            before.append(current)
-            if requested == current:
-                outcomes.append("repeat")
-            elif requested in table.get(current, ()):
-                outcomes.append("applied")
-                current = requested
-            else:
-                outcomes.append("illegal")
-        state.update((current,))
-        yield pd.DataFrame(
-            {
-                "episode_id": key[0],
-                "transition_id": rows["transition_id"].to_numpy(),
-                "from_state": before,
-                "to_state": rows["requested"].to_numpy(),
-                "outcome": outcomes,
-            }
-        )
+        current, ids, wanted, times, last = state.get if state.exists else (initial, [], [], [], -1)
+        waiting = list(zip(ids, wanted, times))
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for rows in chunks:
+                waiting += zip(rows["transition_id"].tolist(), rows["requested"].tolist(), rows["ms"].tolist())
+        due = sorted(w for w in waiting if w[2] < passed)
+        waiting = [w for w in waiting if w[2] >= passed]
+        steps = []
+        for number, requested, at in due:
+            last = max(last, at)
+            outcome = "repeat" if requested == current else "applied" if requested in table.get(current, ()) else "illegal"
+            steps.append((key[0], number, current, requested, outcome))
+            current = requested if outcome == "applied" else current
+        if steps:
+            yield pd.DataFrame(steps, columns=["episode_id", "transition_id", "from_state", "to_state", "outcome"])
+        ended = retain is not None and not table.get(current) and not waiting
+        if ended and last + retain <= passed:
+            state.remove()
+            return
+        state.update((current, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(w[2] for w in waiting), passed + 1))
+        elif ended:
+            state.setTimeoutTimestamp(last + retain)
 
-    return requests.groupBy("episode_id").applyInPandasWithState(
-        advance, STEP_SCHEMA, "current string", "append", GroupStateTimeout.NoTimeout
+    held = "current string, ids array<bigint>, wanted array<string>, times array<bigint>, last bigint"
+    return (
+        requests.withWatermark("ts", delay)
+        .withColumn("ms", F.unix_millis("ts"))
+        .groupBy("episode_id")
+        .applyInPandasWithState(advance, STEP_SCHEMA, held, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def order_timeouts(events: DataFrame, *, limits: Mapping[str, int] = PHASE_LIMITS, delay: str = "15 minutes") -> DataFrame:
     """One row per order: filled in time, or timed out at submission plus the phase limit.
 
-    Expects order_id, kind (submitted, filled), phase, ts. The timeout is an event-time timer, so
-    an order without any further event is resolved when the watermark passes its limit.
+    Expects order_id, kind (submitted, filled), phase, ts. Submission and fill may arrive in either
+    order: the state holds the earliest of both, and an order is decided once both are known or the
+    watermark passes its limit. A decided order stays marked until the watermark is past its limit,
+    so that a repeat does not decide it again, and then leaves the state; so does a fill whose
+    submission has not come when the longest limit has passed.
     """
     caps = {phase: seconds * 1000 for phase, seconds in limits.items()}
+    longest = max(caps.values())
 
     def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deadline, done = state.get if state.exists else (-1, False)
-        outcome = None
-        if state.hasTimedOut:
-            outcome, at = "timed_out", deadline
-        else:
-            rows = pd.concat(list(chunks))
-            sent = rows[rows["kind"] == "submitted"]
-            if deadline < 0 and len(sent):
-                first = sent.sort_values("ms").iloc[0]
-                deadline = int(first["ms"]) + caps[first["phase"]]
-            fills = rows.loc[rows["kind"] == "filled", "ms"]
-            if not done and deadline >= 0 and len(fills):
-                at = int(fills.min())
-                outcome, at = ("filled", at) if at <= deadline else ("timed_out", deadline)
-            elif not done and deadline >= 0 and deadline <= state.getCurrentWatermarkMs():
-                outcome, at = "timed_out", deadline
-        if outcome is not None and not done:
+        deadline, filled, done = state.get if state.exists else (-1, -1, False)
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for rows in chunks:
+                sent = rows[rows["kind"] == "submitted"]
+                limit = (sent["ms"] + sent["phase"].map(caps)).min() if len(sent) else -1
+                if limit >= 0 and (deadline < 0 or limit < deadline) and not done:
+                    deadline = int(limit)
+                fills = rows.loc[rows["kind"] == "filled", "ms"]
+                if len(fills) and (filled < 0 or fills.min() < filled):
+                    filled = int(fills.min())
+        if not done and deadline >= 0 and (filled >= 0 or deadline <= passed):
             done = True
-            yield pd.DataFrame({"order_id": [key[0]], "outcome": [outcome], "at_ms": [at]})
-        if state.hasTimedOut:
+            in_time = 0 <= filled <= deadline
+            yield pd.DataFrame({"order_id": [key[0]], "outcome": ["filled" if in_time else "timed_out"], "at_ms": [filled if in_time else deadline]})
+        keep_until = deadline if deadline >= 0 else filled + longest
+        if state.hasTimedOut or keep_until <= passed:
             state.remove()
             return
-        state.update((deadline, done))
-        if not done and deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
+        state.update((deadline, filled, done))
+        state.setTimeoutTimestamp(keep_until)
 
     return (
         events.withWatermark("ts", delay)
         .withColumn("ms", F.unix_millis("ts"))
         .groupBy("order_id")
         .applyInPandasWithState(
-            watch, TIMEOUT_SCHEMA, "deadline bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+            watch, TIMEOUT_SCHEMA, "deadline bigint, filled bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
         )
     )

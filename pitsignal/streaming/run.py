@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -15,15 +16,18 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, max_fil
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.getFileStatus(target).isDirectory():
+    name = os.path.basename(path)
+    found = [os.path.basename(urlparse(file).path) for file in spark.read.schema(schema).parquet(path).inputFiles()]
+    if found != [name]:
         return reader.parquet(path)
     return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
 
 
-def run_available(stream: DataFrame, label: str, *, timeout_seconds: int = 600, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Drain the source into Parquet below the shared folder; state and sink survive a lost executor."""
+def run_available(stream: DataFrame, label: str, *, timeout_seconds: int | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Drain the source into Parquet below the shared folder; state and sink survive a lost executor.
+
+    The stream runs until the source is drained; only a caller that names a limit has one.
+    """
     spark = stream.sparkSession
     base = scratch_path(spark, label)
     out = os.path.join(base, "out")
@@ -31,7 +35,9 @@ def run_available(stream: DataFrame, label: str, *, timeout_seconds: int = 600,
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     running = writer.trigger(availableNow=True).start()
-    if not running.awaitTermination(timeout_seconds):
+    if timeout_seconds is None:
+        running.awaitTermination()
+    elif not running.awaitTermination(timeout_seconds):
         running.stop()
         raise TimeoutError(f"{label}: stream did not drain in {timeout_seconds} s")
     return spark.read.schema(stream.schema).parquet(out)

@@ -69,3 +69,14 @@ def test_constant_differences_have_a_point_interval(spark):
     assert row.ci_low == pytest.approx(0.25) and row.ci_high == pytest.approx(0.25)
     with pytest.raises(ValueError):
         bootstrap_ci(df, ["k"], "x", ["i"], samples=0, seed=1)
+
+
+def test_quantiles_of_small_groups_take_the_common_way(spark):
+    """Every small size and probability against linear interpolation, ties and a hot value included."""
+    rng = np.random.default_rng(3)
+    rows = [(n, float(v)) for n in range(1, 40) for v in np.round(rng.normal(size=n), 1)] + [(99, 1.0)] * 500 + [(99, 2.0)]
+    probs = {"a": 0.0, "b": 0.05, "c": 0.3, "d": 0.55, "e": 0.95, "f": 1.0}
+    got = exact_quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", probs).collect()
+    for r in got:
+        values = [v for k, v in rows if k == r.k]
+        assert [r[n] for n in probs] == pytest.approx(list(np.quantile(values, list(probs.values()))))

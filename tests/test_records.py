@@ -69,9 +69,9 @@ def test_secret_scan(spark):
     texts = ["API_KEY=your-key-here", "  API_KEY = 'abc123' # note", "x API_KEY=abc", "OTHER=1\nLLM_KEY=${VAR}", filler + "\nLLM_KEY=zzz", "sk-" + "a" * 24, "uses hunter2hunter2 here", "API_KEY=a\nAPI_KEY=b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.f for r in df.select("i", tx.secret_findings(F.col("t"), ["API_KEY", "LLM_KEY"], ["hunter2hunter2"]).alias("f")).collect()}
-    key = "non-placeholder API_KEY assignment"
+    key = "assigned:API_KEY"
     # a line with a trailing comment is no plain assignment
-    assert got == {0: [], 1: [], 2: [], 3: [], 4: ["non-placeholder LLM_KEY assignment"], 5: ["provider-style secret-shaped token"], 6: ["active environment credential value"], 7: [key]}
+    assert got == {0: [], 1: [], 2: [], 3: [], 4: ["assigned:LLM_KEY"], 5: ["token_shape"], 6: ["value_in_use"], 7: [key]}
 
 
 def test_context_digest_cuts_at_the_limit_and_keeps_order(spark):

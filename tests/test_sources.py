@@ -37,6 +37,9 @@ def test_equal_copies_collapse_and_conflicts_raise_or_are_set_aside(spark):
     both = spark.createDataFrame(same + clash, BARS)
     with pytest.raises(Exception, match="conflicting duplicate bar"):
         src.collapse_duplicates(both).collect()
+    for reader in (lambda d: d.count(), lambda d: d.select("ts", "close").collect()):
+        with pytest.raises(Exception, match="conflicting duplicate bar"):
+            reader(src.collapse_duplicates(both))
     assert [r.symbol for r in src.collapse_duplicates(both, strict=False).collect()] == ["A"]
     assert [(r.symbol, r.row_count, r.version_count) for r in src.conflicting_bars(both).collect()] == [("B", 2, 2)]
 
@@ -79,3 +82,11 @@ def test_bad_symbols_and_naive_quote_times_fail(spark):
         page = {"snapshots": {symbol: {"latestQuote": {"t": stamp, "bp": 1, "ap": 2}}}}
         with pytest.raises(Exception, match="unsupported option symbol|timestamp without offset"):
             chains.flatten_snapshots(spark.createDataFrame([(json.dumps(page),)], "payload string")).collect()
+
+
+def test_broken_pages_raise(spark):
+    pages = spark.createDataFrame([("{broken",), ('{"bars": {}, "snapshots": {}}',)], "payload string")
+    for flatten in (src.flatten_bar_payload, chains.flatten_snapshots):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            flatten(pages).collect()
+        assert flatten(pages.where("payload not like '{broken'")).count() == 0

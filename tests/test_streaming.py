@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitsignal.operators.ledger import TRANSITIONS
@@ -35,14 +36,35 @@ def test_copies_in_later_batches_are_ignored(spark):
     assert sorted(r.symbol for r in run_available(sb.ingest_once(stream, ["symbol", "ts"], delay="1 hour"), "once").collect()) == ["A", "B"]
 
 
-def test_the_machine_keeps_its_state_between_batches(spark):
-    batches = [[(1, 1, "FEATURES_FROZEN"), (1, 2, "FEATURES_FROZEN")], [(1, 3, "ORDER_FILLED"), (1, 4, "ABSTAINED"), (2, 5, "ABSTAINED")], [(1, 6, "COLLECTING")]]
-    stream = drip(spark, batches, "episode_id long, transition_id long, requested string")
-    steps = run_available(se.episode_steps(stream, allowed=TRANSITIONS, initial="COLLECTING"), "steps").orderBy("transition_id").collect()
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (2, 1, 0, 3), (1, 2, 0, 3)])
+def test_the_machine_gives_the_same_steps_in_any_arrival_order(spark, order):
+    at = lambda i: T0 + timedelta(seconds=10 * i)
+    batches = [
+        [(1, 1, "FEATURES_FROZEN", at(1)), (1, 2, "FEATURES_FROZEN", at(2))],
+        [(1, 3, "ORDER_FILLED", at(3)), (1, 4, "ABSTAINED", at(4)), (2, 5, "ABSTAINED", at(5))],
+        [(1, 6, "COLLECTING", at(6))],
+        [(9, 7, "ABSTAINED", at(1000))],
+    ]
+    stream = drip(spark, [batches[i] for i in order], "episode_id long, transition_id long, requested string, ts timestamp")
+    machine = se.episode_steps(stream, allowed=TRANSITIONS, initial="COLLECTING", retain_seconds=3600)
+    steps = run_available(machine, "steps").orderBy("transition_id").collect()
     assert [s.outcome for s in steps] == ["applied", "repeat", "illegal", "applied", "applied", "illegal"]
     assert [s.from_state for s in steps] == ["COLLECTING", "FEATURES_FROZEN", "FEATURES_FROZEN", "FEATURES_FROZEN", "COLLECTING", "ABSTAINED"]
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2)])
+def test_a_fill_read_before_its_submission_counts(spark, order):
+    at = lambda s: T0 + timedelta(seconds=s)
+    batches = [
+        [(1, "submitted", "open", at(0)), (2, "submitted", "open", at(5))],
+        [(1, "filled", "open", at(60)), (2, "filled", "open", at(400)), (3, "filled", "open", at(1))],
+        [(9, "submitted", "open", at(9000))],
+    ]
+    stream = drip(spark, [batches[i] for i in order], "order_id long, kind string, phase string, ts timestamp")
+    got = run_available(se.order_timeouts(stream), "timeouts").collect()
+    assert sorted((r.order_id, r.outcome) for r in got) == [(1, "filled"), (2, "timed_out")]
+
+
 def test_orders_fill_or_time_out(spark):
     at = lambda s: T0 + timedelta(seconds=s)
     batches = [

@@ -159,3 +159,11 @@ def test_threshold_grids_are_checked():
     for grid in ((), (0.01, 0.009, 0.011), (0.009, 0.01), (-0.01, 0.009, 0.010, 0.011)):
         with pytest.raises(ValueError):
             studies.BoundaryStudy(thresholds=grid)
+
+
+def test_a_missing_required_symbol_has_no_capacity(spark):
+    frames = spark.createDataFrame([("A", 10, 0.1)] * 90, "symbol string, lookback int, residual double")
+    cover = rp.coverage(frames, ["A", "B"], [10])
+    assert {(r.symbol, r.valid_sessions) for r in cover.collect()} == {("A", 90), ("B", 0)}
+    stop = rp.insufficient_history(rp.capacity(cover, wf.WalkForwardConfig())).collect()
+    assert [(r.verdict, r.reason, r.valid_capacity) for r in stop] == [("MUTATE", "insufficient_history", 0)]
