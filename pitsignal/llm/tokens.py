@@ -10,13 +10,13 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 REMEMBERED = 700_000  # chunks kept per worker; the others are encoded once per batch
-JOINED = 2_000
+JOINED = 200
 BATCH_CHARS = 2_000_000
 
 # white space other than U+0020 and U+0009..U+000D, which chunk borders do not know, the chunk sign, the mark's opening
 _ODD = ("<|", *"\0\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-# a space beside other white space: then chunks are not simply what is between spaces
-_RUNS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+# white space beside white space: then chunks are not simply what is between spaces and line ends
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 
 
@@ -37,12 +37,13 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._mark, self._mark_id = mark, self._tokenizer.token_to_id(mark)
         self._spaces_count = spaces_count
-        # Latin letters and a full stop or comma: in running text the first id of such a word with its
-        # space is the only one that starts with the space, its last id and the stop's the only ones that end a word
-        self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+        # In running text, a chunk that is one word: where spaces count, its first id is the only one that
+        # starts with its space or line end. Else, Latin letters and a full stop or comma: the last id of
+        # the letters and that of the stop are the only ones that end a word.
+        self._plain = re.compile("\n?[^\\s\\x00]+" if spaces_count else "[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
         self._edge = np.zeros(1 << 16, dtype=bool)
         for token, i in self._tokenizer.get_vocab().items():
-            self._edge[i] = token.startswith("Ġ") if spaces_count else token.endswith("</w>")
+            self._edge[i] = token.startswith(("Ġ", "Ċ")) if spaces_count else token.endswith("</w>")
         self._known: dict[str, bytes] = {}
         self._remembered = remembered
 
@@ -50,14 +51,18 @@ class ChunkEncoder:
         return [array("H", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
-        """Chunks of a text; where spaces count, a chunk stands for a space and itself, or starts with "\0" and stands without."""
+        """Chunks of a text.
+
+        Where spaces count, a chunk is written without its leading space; one that has none starts with
+        a line end or, in any other case, with the sign "\\0".
+        """
         if not self._spaces_count:
             return text.split()
-        if text[0] != " " and text[-1] != " " and not any(map(text.__contains__, _RUNS)):
-            chunks = text.split(" ")
+        if text[0] not in " \n" and text[-1] != " " and not any(map(text.__contains__, _RUNS)):
+            chunks = text.replace("\n", " \n").split(" ")
             chunks[0] = "\0" + chunks[0]
             return chunks
-        return [c[1:] if c[0] == " " else "\0" + c for c in _CHUNK.findall(text)]
+        return [c[1:] if c[0] == " " and c[1:2] != "\n" else "\0" + c for c in _CHUNK.findall(text)]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
@@ -96,7 +101,7 @@ class ChunkEncoder:
         fresh: dict[str, bytes] = {}
         for at in range(0, len(chunks), JOINED):
             part = chunks[at : at + JOINED]
-            ids, bounds = together([c[1:] if c[:1] == "\0" else " " + c for c in part] if self._spaces_count else part)
+            ids, bounds = together([c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else " " + c for c in part] if self._spaces_count else part)
             for chunk, begin, end in zip(part, bounds, bounds[1:]):
                 fresh[chunk] = ids[begin:end]
         return fresh
