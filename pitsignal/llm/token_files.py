@@ -15,7 +15,7 @@ from pitsignal.llm.tokens import encoder
 from pitsignal.session import scratch_path
 
 END_ID = 2
-REMEMBERED = 600_000  # chunks that a worker keeps; the ids of a batch need room beside them
+REMEMBERED = 500_000  # chunks that a worker keeps; the ids of a batch need room beside them
 BLOCK_IDS = 1 << 20  # ids of a block, at least one item
 FILE_IDS = 1 << 22  # ids aimed at in a file
 BROADCAST_BLOCKS = 100_000  # up to so many blocks (of 16 bytes) their offsets are broadcast, beyond that joined by shuffle
