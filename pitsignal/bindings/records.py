@@ -185,6 +185,11 @@ def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dec.context_digest(heard, ["conv_id"], "turn", "text")
 
 
+@query("F07_tool_digest", f"""with {_EV} select episode_id, substr(concat('[', string_agg(result, ',' order by call_no), ']'), 1, 1600) as digest from ev where tool = 'view' and fine group by 1""")
+def f07_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dec.tool_digest(tool_calls(spark, sf_dir), "view")
+
+
 # ---------------------------------------------------------------- ledger
 
 TERMINAL = ("signup", "error")

@@ -503,3 +503,18 @@ def s09_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "report")
     research_plan.write_report(run(spark, sf_dir), path)
     return spark.read.schema("symbol string, verdict string, total_signals bigint").json(f"{path}/verdicts")
+
+
+_COVERED = f"cross join (values ('{PRIMARY}'), ('{SECOND}'), ('{CONTROL}')) w(symbol) cross join (values {', '.join(f'({n})' for n in LOOKBACKS)}) n(lookback)"
+
+
+@query("S09_overall_report", f"""with {CTE_RUN}, o as (select case when bool_and(verdict = 'GO') then 'GO' when bool_and(verdict = 'KILL') then 'KILL' else 'MUTATE' end as verdict from vd)
+ select o.verdict, 9::bigint as required_sessions, (select min(v) from cover) as valid_capacity, {_FLOOR}::bigint as min_total_signals, w.symbol, n.lookback::bigint as lookback,
+ coalesce(c.v, 0) as valid_sessions, 'recorded' as feed from o {_COVERED} left join cover c on c.symbol = w.symbol and c.lookback = n.lookback""")
+def s09_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "report")
+    research_plan.write_report(run(spark, sf_dir), path, feed="recorded")
+    back = spark.read.schema(
+        "verdict string, required_sessions long, valid_capacity long, min_total_signals long, coverage array<struct<symbol: string, lookback: long, valid_sessions: long>>, feed string"
+    ).json(f"{path}/overall")
+    return back.select("verdict", "required_sessions", "valid_capacity", "min_total_signals", F.inline("coverage"), "feed")

@@ -43,18 +43,19 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamped = events_stream(spark, sf_dir).select(
         "event_id", F.col("event_type").alias("symbol"), "ts", F.timestamp_add("MINUTE", (F.col("event_id") % 40).cast("int"), F.col("ts")).alias("arrived")
     )
-    return run_available(sb.route_events(stamped, cutoff="09:40", tz="UTC"), "k03", partition_by=("route",))
+    return sb.route_events(stamped, cutoff="09:40", tz="UTC")
 
 
 @query("K03_cutoff_routing", f"with {_ROUTED} select symbol, d::varchar as session_date, route, count(*) as event_count from rt group by 1, 2, 3")
 def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = routed(spark, sf_dir)
+    table = run_available(routed(spark, sf_dir), "k03", partition_by=("route",))
     return table.groupBy("symbol", local_date(F.col("ts"), "UTC").alias("session_date"), "route").agg(F.count(F.lit(1)).alias("event_count"))
 
 
-@query("K03_late_abstain", f"with {_ROUTED} select symbol, d::varchar as session_date, count(*) as late_events, 'late_start' as reason from rt where route = 'late' group by 1, 2")
+@query("K03_late_abstain", f"""with {_ROUTED} select symbol, d::varchar as session_date, count(*) as late_events, 'late_start' as reason from rt
+ where route = 'late' and d + interval 1 day <= {_WM} group by 1, 2""")
 def k03_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sb.abstain_rows(routed(spark, sf_dir), tz="UTC")
+    return run_available(sb.abstain_rows(routed(spark, sf_dir), tz="UTC"), "k03-late")
 
 
 # stand-in for the legal-transition table over the event types
@@ -86,9 +87,11 @@ def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(se.order_timeouts(orders), "k05")
 
 
-@query("K06_quote_freshness", """with d as (select event_id, user_id, ts from events where event_type = 'purchase'), q as (select event_id, user_id, ts from events where event_type <> 'purchase')
- select d.event_id as decision_id, max_by(q.event_id, row(q.ts, q.event_id)) as quote_id, strftime(max(q.ts), '%Y-%m-%d %H:%M:%S') as quoted_at
- from d join q on q.user_id = d.user_id and q.ts <= d.ts and q.ts >= d.ts - interval 14400 seconds group by 1""")
+@query("K06_quote_freshness", """with d as (select event_id, user_id, ts from events where event_type = 'purchase'), q as (select event_id, user_id, ts from events where event_type <> 'purchase'),
+ wm as (select least((select max(ts) from d), (select max(ts) from q)) - interval 15 minutes as w)
+ select d.event_id as decision_id, max_by(q.event_id, row(q.ts, q.event_id)) as quote_id, strftime(max(q.ts), '%Y-%m-%d %H:%M:%S') as quoted_at, max(q.event_id) is null as refused
+ from d left join q on q.user_id = d.user_id and q.ts <= d.ts and q.ts >= d.ts - interval 14400 seconds
+ where q.event_id is not null or epoch_ms(d.ts) < (select epoch_ms(w) from wm) group by 1""")
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = F.col("event_type") == "purchase"
     decisions = events_stream(spark, sf_dir).where(bought).select(F.col("event_id").alias("decision_id"), F.col("ts").alias("decided_at"), "user_id")

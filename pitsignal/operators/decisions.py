@@ -181,3 +181,13 @@ def context_digest(items: DataFrame, keys: Sequence[str], order: str, content: s
     joined = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", "_text"))).alias("_items"))
     body = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda e: e["_text"]), ","), F.lit("]"))
     return joined.select(*keys, F.substring(body, 1, limit).alias("digest"))
+
+
+def tool_digest(calls: DataFrame, tool: str, *, limit: int = 1600) -> DataFrame:
+    """Digest of the results of one tool per episode: its successful calls in order, keys sorted.
+
+    Expects episode_id, call_no, tool, result_json; a call without a readable result has failed and is
+    left out, and an episode without a successful call has no row.
+    """
+    found = calls.where(F.col("tool") == tool).withColumn("_result", canonical_json(F.col("result_json"))).where(F.col("_result").isNotNull())
+    return context_digest(found, ["episode_id"], "call_no", "_result", limit=limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 4.0 / _ACCURACY
-_BINS = 1024
+_BINS = 256
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -17,8 +17,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
 
     A mergeable sketch brackets each quantile, and each end moves out to the next value of the group,
     since an interpolated rank lies up to one value beside the sketch's. Values below the bracket are
-    only counted, the few inside it are spread over bins and ranked exactly, so no task sees a whole
-    group; a group of any size takes this way. Equal values are merged before the shuffle. A bracket
+    only counted, the few inside it are spread over bins of about equally many values, however they are
+    spread, and ranked exactly, so no task sees a whole group; a group of any size takes this way. Equal values are merged before the shuffle. A bracket
     that misses its rank raises, so a result is never approximate.
     """
     if not keys:
@@ -52,12 +52,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         F.max(F.when(x < F.col("lo"), x)).alias("_below"), F.min(F.when(x > F.col("hi"), x)).alias("_above")
     )
     brackets = beside.select(*keys, "name", "rank", F.coalesce("_below", "lo").alias("lo"), F.coalesce("_above", "hi").alias("hi"))
-    placed = counted.join(brackets, keys)
+    group = [*keys, "name"]
+    # edges between values of the bracket, each distinct value counted once: bins hold equally many of them
+    cuts = (
+        counted.join(brackets, keys)
+        .where((x >= F.col("lo")) & (x <= F.col("hi")))
+        .groupBy(*group)
+        .agg(F.percentile_approx(x, [i / _BINS for i in range(1, _BINS)], _ACCURACY).alias("_cuts"))
+    )
+    placed = counted.join(brackets.join(cuts, group), keys)
     # one row (bin -1) stands for everything below the bracket; the values inside are spread over
     # bins, ranked per bin, and lifted by the counts of the bins before
-    width = F.col("hi") - F.col("lo")
-    at = F.floor(F.when(width > 0, (x - F.col("lo")) / width * _BINS).otherwise(0.0))
-    group = [*keys, "name"]
+    at = F.size(F.filter("_cuts", lambda cut: cut < x))
     inside = (
         placed.where(x <= F.col("hi"))
         .withColumn("_bin", F.when(x >= F.col("lo"), at).otherwise(-1))

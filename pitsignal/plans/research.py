@@ -51,10 +51,12 @@ def insufficient_history(cap: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ResearchRun:
+    """A finished run, or a stopped one: then there is no evaluation and no verdict per symbol."""
+
     coverage: DataFrame
     capacity: DataFrame
-    evaluation: WalkForward
-    verdicts: DataFrame
+    evaluation: WalkForward | None
+    verdicts: DataFrame | None
     overall: DataFrame
 
 
@@ -62,14 +64,18 @@ def research(frames: DataFrame, config: WalkForwardConfig, *, required: Sequence
     """Evaluate the universe from one episode table.
 
     The table is written once to the checkpoint folder: it is one row per (symbol, lookback,
-    session), tiny next to the bars, and every branch below reads it.
+    session), tiny next to the bars, and every branch below reads it. Too little history of any
+    required symbol stops the run, whatever the others say: nothing is evaluated, and the overall
+    verdict is MUTATE.
     """
     kept = cut_lineage(frames.where(F.col("symbol").isin([*required, control])))
     cover = coverage(kept, [*required, control], config.beta_lookbacks)
     cap = capacity(cover, config)
+    stop = insufficient_history(cap).select(F.col("verdict").alias("overall_verdict"))
+    if stop.first() is not None:  # the capacity is one row
+        return ResearchRun(cover, cap, None, None, stop)
     evaluation = walk_forward(kept, config, cut=False).settled()
     floor = cap.select("min_total_signals").scalar()
-    enough = cap.select("enough_history").scalar()
     checks = promotion_checks(
         pooled_summary(kept, evaluation.signals), evaluation.results, config, control=control, min_signals=floor
     )
@@ -77,13 +83,8 @@ def research(frames: DataFrame, config: WalkForwardConfig, *, required: Sequence
         verdicts(checks)
         .withColumn("min_total_signals", floor)
         .withColumn("config_hash", config.config_hash_column(F.col("min_total_signals")))
-        .withColumn("verdict", F.when(enough, F.col("verdict")).otherwise("MUTATE"))
     )
-    # too little history of any required symbol stops the run, whatever the others say
-    overall = overall_verdict(table, required)
-    name = overall.columns[0]
-    overall = overall.select(F.when(enough, F.col(name)).otherwise("MUTATE").alias(name))
-    return ResearchRun(cover, cap, evaluation, table, overall)
+    return ResearchRun(cover, cap, evaluation, table, overall_verdict(table, required))
 
 
 def report_lines(table: DataFrame, results: DataFrame) -> DataFrame:
@@ -121,11 +122,36 @@ def report_lines(table: DataFrame, results: DataFrame) -> DataFrame:
     return top.unionByName(folds)
 
 
-def write_report(run: ResearchRun, path: str) -> None:
-    """Result tables as Parquet and JSON, the readable lines as text sorted per symbol."""
+def overall_report(run: ResearchRun, **settings: str) -> DataFrame:
+    """The run in one row: verdict, reason of a stop, history, signal floor with its rationale, coverage, `settings`.
+
+    `settings` are recorded as they are, such as feeds and session times. The coverage has one entry per
+    symbol and lookback.
+    """
+    cover = run.coverage.agg(F.array_sort(F.collect_list(F.struct("symbol", "lookback", "valid_sessions"))).alias("coverage"))
+    return run.capacity.select(
+        run.overall.scalar().alias("verdict"),
+        F.when(~F.col("enough_history"), "insufficient_history").alias("reason"),
+        "required_sessions",
+        "valid_capacity",
+        "min_total_signals",
+        "rationale",
+        cover.scalar().alias("coverage"),
+        *[F.lit(value).alias(name) for name, value in settings.items()],
+    )
+
+
+def write_report(run: ResearchRun, path: str, **settings: str) -> None:
+    """The overall row and the verdicts as JSON, tables as Parquet, readable lines as text sorted per symbol.
+
+    A stopped run has the overall row and the coverage only.
+    """
+    overall_report(run, **settings).write.mode("overwrite").json(f"{path}/overall")
+    run.coverage.write.mode("overwrite").parquet(f"{path}/coverage")
+    if run.evaluation is None:
+        return
     run.verdicts.write.mode("overwrite").json(f"{path}/verdicts")
     run.evaluation.results.write.mode("overwrite").parquet(f"{path}/folds")
-    run.coverage.write.mode("overwrite").parquet(f"{path}/coverage")
     lines = report_lines(run.verdicts, run.evaluation.results)
     (
         lines.repartitionByRange("symbol", "line_no")

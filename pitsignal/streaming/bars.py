@@ -53,26 +53,34 @@ def route_events(events: DataFrame, *, cutoff: str, tz: str, delay_seconds: int
     return events.withColumn("route", cutoff_route(F.col("ts"), F.col("arrived"), cutoff=cutoff, tz=tz, delay_seconds=delay_seconds))
 
 
-def abstain_rows(routed: DataFrame, *, tz: str) -> DataFrame:
-    """One abstain row per (symbol, session) that had a late event."""
-    late = routed.where(F.col("route") == "late")
-    return late.groupBy("symbol", local_date(F.col("ts"), tz).alias("session_date")).agg(
-        F.count(F.lit(1)).alias("late_events"), F.lit("late_start").alias("reason")
+def abstain_rows(routed: DataFrame, *, tz: str, delay: str = FEED_DELAY) -> DataFrame:
+    """One abstain row per (symbol, session) that had a late event.
+
+    On a stream a session's row is emitted once the watermark of all events, late or not, passes its
+    end; the state is one row per symbol and open session. The watermark follows the wall clock of `tz`.
+    """
+    wall = routed.withColumn("_wall", F.from_utc_timestamp("ts", tz)).withWatermark("_wall", delay)
+    counted = wall.groupBy(F.window("_wall", "1 day"), "symbol").agg(F.count_if(F.col("route") == "late").alias("late_events"))
+    day = F.floor(F.unix_micros("window.start") / 86_400_000_000).cast("int")
+    return counted.where("late_events > 0").select(
+        "symbol", F.date_from_unix_date(day).alias("session_date"), "late_events", F.lit("late_start").alias("reason")
     )
 
 
 def fresh_quotes(decisions: DataFrame, quotes: DataFrame, *, key: str, max_age_seconds: int = 60, delay: str = FEED_DELAY) -> DataFrame:
-    """Decisions with the quotes at most `max_age_seconds` old; both sides keep bounded state.
+    """Every decision with the quotes at most `max_age_seconds` old; both sides keep bounded state.
 
-    Expects decision_id, decided_at, `key` on the left and quote_id, quoted_at, `key` on the right.
+    Expects decision_id, decided_at, `key` on the left and quote_id, quoted_at, `key` on the right. A
+    decision without a fresh quote has one row with null quote columns, once the watermark has passed it.
     """
     left = decisions.withWatermark("decided_at", delay)
     right = quotes.withColumnRenamed(key, "_quote_key").withWatermark("quoted_at", delay)
     age = F.expr(f"interval {int(max_age_seconds)} seconds")
     inside = (F.col("quoted_at") <= F.col("decided_at")) & (F.col("quoted_at") >= F.col("decided_at") - age)
-    return left.join(right, (F.col(key) == F.col("_quote_key")) & inside).drop("_quote_key")
+    return left.join(right, (F.col(key) == F.col("_quote_key")) & inside, "left_outer").drop("_quote_key")
 
 
 def freshest(pairs: DataFrame) -> DataFrame:
-    """The newest quote of every decision, from the joined sink."""
-    return pairs.groupBy("decision_id").agg(F.max_by("quote_id", F.struct("quoted_at", "quote_id")).alias("quote_id"), F.max("quoted_at").alias("quoted_at"))
+    """The newest quote of every decision, from the joined sink; without one the decision is refused."""
+    newest = pairs.groupBy("decision_id").agg(F.max_by("quote_id", F.struct("quoted_at", "quote_id")).alias("quote_id"), F.max("quoted_at").alias("quoted_at"))
+    return newest.withColumn("refused", F.col("quote_id").isNull())

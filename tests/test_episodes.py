@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -142,3 +142,13 @@ def test_asof_matches_brute_force_over_gaps_and_ties(spark):
     for row in got:
         earlier = [v for k, t, v in right if k == row.key and t <= row.at]
         assert row.v == (earlier[-1] if earlier else None)
+
+
+def test_asof_over_tiny_buckets_and_runs_with_ties(spark):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    left = spark.createDataFrame([("k", at(s)) for s in (0, 5, 10, 11, 5000, 90_000)] + [("z", at(7))], "key string, at timestamp")
+    right = spark.createDataFrame([("k", at(5), 1), ("k", at(5), 3), ("k", at(5), 2), ("k", at(11), 4), ("y", at(0), 9)], "key string, rt timestamp, v int")
+    got = asof_backward(left, right, keys=["key"], left_ts="at", right_ts="rt", values=["v"], bucket_seconds=2)
+    base = int(at(0).timestamp())
+    rows = {(r.key, r.s): r.v for r in got.select("key", (F.unix_seconds("at") - F.lit(base)).alias("s"), "v").collect()}
+    assert rows == {("k", 0): None, ("k", 5): 3, ("k", 10): 3, ("k", 11): 4, ("k", 5000): 4, ("k", 90_000): 4, ("z", 7): None}

@@ -82,6 +82,12 @@ def test_context_digest_cuts_at_the_limit_and_keeps_order(spark):
     assert got["d"] == ('["' + "x" * 5000)[:1600]
 
 
+def test_tool_digest_keeps_successful_calls_of_the_tool(spark):
+    rows = [("e", 2, "news", '{"b": 1, "a": "é"}'), ("e", 1, "news", '{"z": 0}'), ("e", 3, "news", None), ("e", 4, "news", "{broken"), ("e", 5, "other", "{}"), ("f", 1, "news", None)]
+    got = dec.tool_digest(spark.createDataFrame(rows, "episode_id string, call_no long, tool string, result_json string"), "news").collect()
+    assert [(r.episode_id, r.digest) for r in got] == [("e", '[{"z":0},{"a":"\\u00e9","b":1}]')]
+
+
 def test_legal_paths_are_clean_and_illegal_ones_are_flagged(spark):
     path = ["COLLECTING", "FEATURES_FROZEN", "OPENING_CONFIRMATION", "CANDIDATE_READY", "AI_REVIEWED", "RISK_APPROVED", "ORDER_SUBMITTED", "ORDER_FILLED", "MONITORING", "EXIT_SUBMITTED", "CLOSED"]
     rows = [("ok", i, a, b) for i, (a, b) in enumerate(zip(path, path[1:]))]

@@ -80,13 +80,28 @@ def test_orders_fill_or_time_out(spark):
 
 
 def test_freshness_join_and_cutoff(spark):
-    decisions = drip(spark, [[(1, T0, "A"), (2, T0, "B")]], "decision_id long, decided_at timestamp, k string")
-    quotes = drip(spark, [[(10, T0 - timedelta(seconds=61), "A"), (11, T0 - timedelta(seconds=60), "A")], [(12, T0 - timedelta(seconds=1), "A"), (13, T0 + timedelta(seconds=1), "A"), (14, T0 - timedelta(seconds=90), "B")]], "quote_id long, quoted_at timestamp, k string")
+    later = T0 + timedelta(hours=2)
+    decisions = drip(spark, [[(1, T0, "A"), (2, T0, "B")], [(3, later, "C")]], "decision_id long, decided_at timestamp, k string")
+    quotes = drip(spark, [[(10, T0 - timedelta(seconds=61), "A"), (11, T0 - timedelta(seconds=60), "A")], [(12, T0 - timedelta(seconds=1), "A"), (13, T0 + timedelta(seconds=1), "A"), (14, T0 - timedelta(seconds=90), "B")], [(15, later, "Z")]], "quote_id long, quoted_at timestamp, k string")
     pairs = run_available(sb.fresh_quotes(decisions, quotes, key="k"), "fresh")
-    assert sorted(r.quote_id for r in pairs.collect()) == [11, 12] and [r.quote_id for r in sb.freshest(pairs).collect()] == [12]
+    assert sorted(r.quote_id for r in pairs.where("quote_id is not null").collect()) == [11, 12]
+    # the decision without a quote is refused once the watermark has passed it; the last one still waits
+    assert sorted((r.decision_id, r.quote_id, r.refused) for r in sb.freshest(pairs).collect()) == [(1, 12, False), (2, None, True)]
     rows = [("in", datetime(2026, 8, 31, 13, 40), datetime(2026, 8, 31, 13, 55)), ("late", datetime(2026, 8, 31, 13, 40), datetime(2026, 8, 31, 13, 56)), ("after", datetime(2026, 8, 31, 13, 41), datetime(2026, 8, 31, 13, 41))]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, arrived timestamp")
     routed = sb.route_events(df, cutoff="09:40", tz="America/New_York")
     assert {r.symbol: r.route for r in routed.collect()} == {"in": "feature", "late": "late", "after": "after_cutoff"}
     assert [(r.symbol, r.late_events) for r in sb.abstain_rows(routed, tz="America/New_York").collect()] == [("late", 1)]
     assert routed.select(F.count("route")).collect()[0][0] == 3
+
+
+def test_late_events_of_a_session_abstain_once_it_is_over(spark):
+    late = datetime(2026, 8, 31, 13, 40)
+    batches = [
+        [("A", late, late + timedelta(minutes=30)), ("B", late, late)],
+        [("A", late + timedelta(seconds=-5), late + timedelta(hours=1)), ("B", datetime(2026, 9, 1, 3, 0), datetime(2026, 9, 1, 3, 0))],
+        [("B", datetime(2026, 9, 1, 4, 20), datetime(2026, 9, 1, 4, 20))],
+    ]
+    stream = sb.route_events(drip(spark, batches, "symbol string, ts timestamp, arrived timestamp"), cutoff="09:40", tz="America/New_York")
+    got = run_available(sb.abstain_rows(stream, tz="America/New_York"), "abstain").collect()
+    assert [(r.symbol, str(r.session_date), r.late_events, r.reason) for r in got] == [("A", "2026-08-31", 2, "late_start")]

@@ -90,7 +90,10 @@ def test_short_history_stops_with_mutate(spark):
     run = rp.research(frames(spark, 1.0, n=30), CONFIG, required=("S",), control="CTL")
     stop = rp.insufficient_history(run.capacity).collect()
     assert [(r.verdict, r.reason, r.required_sessions, r.valid_capacity) for r in stop] == [("MUTATE", "insufficient_history", 60, 30)]
-    assert run.verdicts.collect()[0].verdict == "MUTATE"
+    assert run.evaluation is None and run.verdicts is None and run.overall.collect()[0].overall_verdict == "MUTATE"
+    row = rp.overall_report(run, feed="recorded").collect()[0]
+    assert (row.verdict, row.reason, row.valid_capacity, row.feed) == ("MUTATE", "insufficient_history", 30, "recorded")
+    assert {c.symbol for c in row.coverage} == {"S", "CTL"}
 
 
 def test_the_config_hash_is_stable_and_follows_the_floor(spark):
