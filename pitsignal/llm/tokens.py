@@ -8,10 +8,12 @@ from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 REMEMBERED = 700_000  # chunks kept per worker; the others are encoded once per batch
 JOINED = 200
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 8_000_000
 
 # white space other than U+0020 and U+0009..U+000D, which chunk borders do not know, the chunk sign, the mark's opening
 _ODD = ("<|", *"\0\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
@@ -25,7 +27,8 @@ class ChunkEncoder:
 
     Both vocabularies cut a text before white space that follows a visible character, whatever
     stands around it. A text is therefore the concatenation of such chunks, and a chunk seen before
-    need not be encoded again. New chunks of a batch are encoded together, separated by `mark`, an
+    need not be encoded again. Arrow cuts the texts of a batch, numbers its different chunks and puts
+    their ids in place, so that only different chunks are Python strings. New chunks of a batch are encoded together, separated by `mark`, an
     added token that always splits a text, or as running text where the ids show the borders. Texts with the mark's opening or with other white space
     are encoded whole. Ids are unsigned 16-bit integers.
     """
@@ -50,19 +53,24 @@ class ChunkEncoder:
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str]:
-        """Chunks of a text.
+    def _simple(self, text: str) -> bool:
+        """Whether the chunks of a text are what is between single spaces and before line ends."""
+        return text[0] not in " \n" and text[-1] != " " and not any(map(text.__contains__, _RUNS))
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """Where the chunks of each text begin, and end those of the last, and all chunks in a row.
 
         Where spaces count, a chunk is written without its leading space; one that has none starts with
-        a line end or, in any other case, with the sign "\\0".
+        a line end or, in any other case, with the sign "\\0". Else there may be empty chunks.
         """
         if not self._spaces_count:
-            return text.split()
-        if text[0] not in " \n" and text[-1] != " " and not any(map(text.__contains__, _RUNS)):
-            chunks = text.replace("\n", " \n").split(" ")
-            chunks[0] = "\0" + chunks[0]
-            return chunks
-        return [c[1:] if c[0] == " " and c[1:2] != "\n" else "\0" + c for c in _CHUNK.findall(text)]
+            cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        elif all(map(self._simple, texts)):
+            cut = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        else:
+            each = ([c[1:] if c[0] == " " and c[1:2] != "\n" else "\0" + c for c in _CHUNK.findall(t)] for t in texts)
+            cut = pa.array(each, pa.list_(pa.large_string()))
+        return cut.offsets.to_numpy(), cut.values
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
@@ -78,24 +86,37 @@ class ChunkEncoder:
         return out
 
     def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        kinds: dict[str, list[int]] = {"simple": [], "spaced": [], "odd": []}
+        for i, text in enumerate(texts):
+            if text:
+                odd = any(map(text.__contains__, _ODD))
+                kinds["odd" if odd else "simple" if not self._spaces_count or self._simple(text) else "spaced"].append(i)
+        for i in kinds["odd"]:
+            out[i] = self._whole([texts[i]])[0]
+        for group in (kinds["simple"], kinds["spaced"]):
+            if group:
+                for i, ids in zip(group, self._chunked([texts[i] for i in group])):
+                    out[i] = ids
+        return out
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
         known = self._known
-        odd = [bool(t) and any(map(t.__contains__, _ODD)) for t in texts]
-        cut = [[] if o or not t else self._cut(t) for t, o in zip(texts, odd)]
-        parts = [list(map(known.get, chunks)) for chunks in cut]
-        holes = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in parts]
-        new = list({chunks[i] for chunks, own in zip(cut, holes) for i in own})
+        begins, chunks = self._cut(texts)
+        numbered = chunks.dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = list(map(known.get, words))
+        new = [w for w, ids in zip(words, parts) if ids is None and (w or self._spaces_count)]
         plain = [c for c in new if self._plain(c)]
         fresh = self._encode_new(plain, self._between_plain)
         fresh.update(self._encode_new([c for c in new if c not in fresh], self._between_marks))
-        for chunks, own, places in zip(cut, parts, holes):
-            for i in places:
-                own[i] = fresh[chunks[i]]
         if len(known) < self._remembered:
             known.update(fresh)
-        out = list(map(b"".join, parts))
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = self._whole([texts[i]])[0]
-        return out
+        parts = [fresh.get(w, b"") if ids is None else ids for w, ids in zip(words, parts)]
+        placed = pa.array(parts, pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(placed.buffers()[1], dtype=np.int64)[begins].tolist()
+        data = memoryview(placed.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
     def _encode_new(self, chunks: list[str], together: Callable[[list[str]], tuple[bytes, list[int]]]) -> dict[str, bytes]:
         fresh: dict[str, bytes] = {}
