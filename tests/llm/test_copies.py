@@ -8,9 +8,11 @@ import pytest
 import xxhash
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from pitsignal.llm import near_copies as nc
 from pitsignal.llm.boilerplate import drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
+from pitsignal.llm.similar_texts import similar_texts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,3 +142,52 @@ def test_boilerplate_by_tool(spark):
     assert got[90].content is None and got[90].n_dropped == 0 and got[90].n_lines == 0
     assert got[91].content == "" and got[92].content == "share this\nx" and got[93].content == ""
     assert drop_boilerplate(frame.limit(0)).count() == 0
+
+
+def brute_similar(rows):
+    """item_id to the smallest item_id reachable over Jaccard 0.8 on five-word shingles, all pairs compared."""
+    sets = [shingles((t or "").lower()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    least = {}
+    for (item, _), r in zip(rows, root):
+        least[r] = min(least.get(r, item), item)
+    return {item: least[r] for (item, _), r in zip(rows, root)}
+
+
+def edited_texts():
+    """Texts with one to nine changed words, of which two-bit fingerprints link next to none, and a shared passage."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(words, 40))
+    rows = []
+    for base in range(12):
+        text = list(rng.choice(words, 160))
+        for copy in range(9):
+            edited = list(text)
+            for at in rng.choice(160, copy, replace=False):
+                edited[at] = f"x{base}-{copy}-{at}"
+            rows.append((1000 - len(rows), f"{passage} {' '.join(edited)}"))
+    return rows + [(5, None), (6, ""), (7, "Short text"), (8, "short  TEXT")]
+
+
+def test_similar_texts_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    for rows in (edited_texts(), [(d.doc_id, d.text) for d in docs]):
+        frame = spark.createDataFrame(rows, "item_id long, content string").repartition(5)
+        want = brute_similar(rows)
+        got = similar_texts(frame.unionByName(frame.limit(1)).union(spark.createDataFrame([(None, "Short text")], frame.schema)))
+        assert {r.item_id: r.component_id for r in got.collect()} == want
+    assert similar_texts(frame.limit(0)).count() == 0
+
+
+def test_pipeline_drops_copies_of_similarity_08(spark):
+    rows = edited_texts()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    kept = corpus_pipeline.drop_copies(spark, frame, SMALL).collect()
+    assert {r.doc_id for r in kept} == set(brute_similar(rows).values())
