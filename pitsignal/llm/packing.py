@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ from pitsignal.session import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 GROUP = 60_000  # pieces packed together by one task
-TRIES = 200_000  # exchanges looked at per group
 SPAN = 1 << 32  # sequence numbers of a group
 
 
@@ -65,70 +65,134 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, tries: int = TRIES) -> list[list[int]]:
+class _Underfull:
+    """Underfull bins by room: which have a piece of a size, and which have two pieces of a sum, as bit masks."""
+
+    def __init__(self, size: list[int], bins: list[list[int]], fill: list[int], capacity: int):
+        self.size, self.bins, self.fill, self.capacity = size, bins, fill, capacity
+        self.rooms = 0  # bit r is set if a bin has room r
+        self.at: dict[int, set[int]] = {}
+        self.masks: dict[int, list[int]] = {}  # by room: sizes, sums
+        self.found: dict[tuple[int, int, int], set[int]] = {}  # (room, 0 or 1, size or sum) to bins
+
+    def _keys(self, k: int) -> tuple[set[int], set[int]]:
+        counts = Counter(self.size[i] for i in self.bins[k])
+        sizes = sorted(counts)
+        sums = {x + y for a, x in enumerate(sizes) for y in sizes[a + 1 :]} | {2 * x for x in sizes if counts[x] > 1}
+        return set(sizes), sums
+
+    def add(self, k: int) -> None:
+        room = self.capacity - self.fill[k]
+        if not room or not self.bins[k]:
+            return
+        self.rooms |= 1 << room
+        self.at.setdefault(room, set()).add(k)
+        masks = self.masks.setdefault(room, [0, 0])
+        for kind, keys in enumerate(self._keys(k)):
+            for x in keys:
+                self.found.setdefault((room, kind, x), set()).add(k)
+                masks[kind] |= 1 << x
+
+    def remove(self, k: int) -> None:
+        room = self.capacity - self.fill[k]
+        self.at[room].remove(k)
+        masks = self.masks[room]
+        for kind, keys in enumerate(self._keys(k)):
+            for x in keys:
+                held = self.found[room, kind, x]
+                held.remove(k)
+                if not held:
+                    del self.found[room, kind, x]
+                    masks[kind] ^= 1 << x
+        if not self.at[room]:
+            del self.at[room], self.masks[room]
+            self.rooms ^= 1 << room
+
+    def best(self, giver: int) -> tuple[int, int, list[int], int] | None:
+        """Piece of the giver, taker, pieces to give back, and gain, of the step that fills a fuller bin most."""
+        by_size = {self.size[i]: i for i in self.bins[giver]}
+        gain, step = 0, None
+        rooms = self.rooms & ((2 << (self.capacity - self.fill[giver])) - 1)
+        while rooms:
+            room = rooms.bit_length() - 1
+            if room <= gain:
+                break
+            rooms ^= 1 << room
+            masks = self.masks[room]
+            for s in by_size:
+                if s <= gain:
+                    continue
+                if s <= room:
+                    gain, step = s, (s, room, -1, 0)
+                    continue
+                for kind in (0, 1):
+                    above = masks[kind] >> (s - room)
+                    if above:
+                        x = s - room + (above & -above).bit_length() - 1
+                        if s - x > gain:
+                            gain, step = s - x, (s, room, kind, x)
+        if step is None:
+            return None
+        s, room, kind, x = step
+        taker = next(iter(self.at[room] if kind < 0 else self.found[room, kind, x]))
+        own = self.bins[taker]
+        back: list[int] = []
+        if kind == 0:
+            back = [next(i for i in own if self.size[i] == x)]
+        elif kind == 1:
+            seen: dict[int, int] = {}
+            for i in own:
+                if x - self.size[i] in seen:
+                    back = [seen[x - self.size[i]], i]
+                    break
+                seen[self.size[i]] = i
+        return by_size[s], taker, back, gain
+
+
+def swap_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Bins after moves and exchanges between underfull bins that increase the sum of squared fills.
 
-    A step takes the emptiest bin and tries, against the other underfull bins from the fullest on:
-    moving one of its pieces over, or exchanging one of its pieces for one or two smaller ones. Any
-    step that makes the fuller bin fuller increases the squared fill, as the total stays the same.
-    Emptied bins go; the search ends when no step helps, when the bins reach the bound
-    ceil(total / capacity), or after `tries` comparisons.
+    From the emptiest underfull bin on, a bin takes the step that fills another, fuller one most, as
+    long as there is one: moving one of its pieces over, or exchanging one of its pieces for one or
+    two smaller ones. Any step that makes the fuller bin fuller increases the squared fill, as the
+    total stays the same, so the search is finite. It ends when no bin has a step left, or when the
+    bins reach the bound ceil(total / capacity). A step is a lookup by room, size and sum of two sizes.
     """
     size = lengths.tolist()
+    bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
     bound = -(-sum(fill) // capacity)
     live = sum(1 for b in bins if b)
-    underfull = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    stuck: set[int] = set()  # bins that no step helps until another step is made
-    while live > bound and tries > 0:
-        giver = next((k for k in underfull if k not in stuck), None)
-        if giver is None:
-            break
-        for taker in reversed([k for k in underfull if k != giver and fill[k] >= fill[giver]]):
-            room = capacity - fill[taker]
-            give = max((i for i in bins[giver] if size[i] <= room), key=lambda i: size[i], default=None)
-            tries -= len(bins[giver])
-            back: list[int] = []
-            if give is None:
-                give, back, seen = _exchange(size, bins[giver], bins[taker], room)
-                tries -= seen
-            if give is None:
-                if tries <= 0:
-                    break
+    if live <= bound:
+        return [b for b in bins if b]
+    index = _Underfull(size, bins, fill, capacity)
+    for k in range(len(bins)):
+        index.add(k)
+    stepped = True
+    while stepped and live > bound:
+        stepped = False
+        for giver in sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: fill[k]):
+            if fill[giver] == capacity:  # filled meanwhile
                 continue
-            bins[giver] = [i for i in bins[giver] if i != give] + back
-            bins[taker] = [i for i in bins[taker] if i not in back] + [give]
-            gain = size[give] - sum(size[i] for i in back)
-            fill[giver] -= gain
-            fill[taker] += gain
+            index.remove(giver)
+            while bins[giver] and (step := index.best(giver)):
+                give, taker, back, gain = step
+                index.remove(taker)
+                bins[giver] = [i for i in bins[giver] if i != give] + back
+                bins[taker] = [i for i in bins[taker] if i not in back] + [give]
+                fill[giver] -= gain
+                fill[taker] += gain
+                index.add(taker)
+                stepped = True
+            index.add(giver)
             live -= not bins[giver]
-            underfull = sorted((k for k in underfull if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
-            stuck.clear()
-            break
-        else:
-            stuck.add(giver)
+            if live <= bound:
+                break
     return [b for b in bins if b]
 
 
-def _exchange(size: list[int], giver: list[int], taker: list[int], room: int) -> tuple[int | None, list[int], int]:
-    """Piece of the giver and one or two pieces of the taker whose exchange fills the taker best."""
-    best, gain, seen = (None, []), 0, 0
-    for i in giver:
-        for x, j in enumerate(taker):
-            seen += 1
-            one = size[i] - size[j]
-            if gain < one <= room:
-                best, gain = (i, [j]), one
-            for k in taker[x + 1 :]:
-                seen += 1
-                two = one - size[k]
-                if gain < two <= room:
-                    best, gain = (i, [j, k]), two
-    return best[0], best[1], seen
-
-
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, tries: int = TRIES) -> list[list[int]]:
-    return swap_search(lengths, best_fit(lengths, capacity), capacity, tries)
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+    return swap_search(lengths, best_fit(lengths, capacity), capacity)
 
 
 def pack_evidence(evidence: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:

@@ -108,6 +108,36 @@ def test_swaps_empty_a_bin_that_best_fit_leaves():
     assert len(swap_search(lengths, stuck, 10)) == 2
 
 
+def step_left(lengths, bins, capacity):
+    """Whether a move or an exchange for one or two smaller pieces makes a fuller bin fuller, all tried."""
+    fill = [sum(lengths[b]) for b in bins]
+    for g, t in itertools.permutations(range(len(bins)), 2):
+        if fill[g] <= fill[t] < capacity:
+            backs = [0, *(lengths[j] for j in bins[t]), *(lengths[j] + lengths[k] for j, k in itertools.combinations(bins[t], 2))]
+            if any(0 < lengths[i] - back <= capacity - fill[t] for i in bins[g] for back in backs):
+                return True
+    return False
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.randoms(use_true_random=False))
+def test_swaps_go_on_until_no_step_helps(sizes, random):
+    lengths = np.array(sizes, dtype=np.int64)
+    start = [[i] for i in range(len(sizes))]
+    random.shuffle(start)
+    bins = swap_search(lengths, start, 50)
+    assert sorted(itertools.chain(*bins)) == list(range(len(sizes))) and all(lengths[b].sum() <= 50 for b in bins)
+    assert len(bins) <= -(-lengths.sum() // 50) or not step_left(lengths, bins, 50)
+
+
+def test_swaps_have_no_cap_on_a_large_group():
+    """Best fit alone needs 2,229 bins here, and 200,000 comparisons of bins empty three of them."""
+    lengths = np.random.default_rng(0).integers(600, 761, 6000)
+    bins = pack(lengths)
+    assert sorted(itertools.chain(*bins)) == list(range(6000)) and max(lengths[b].sum() for b in bins) <= 2048
+    assert len(bins) < 2100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=40))
 def test_pack_keeps_pieces_and_never_gets_worse(sizes):
