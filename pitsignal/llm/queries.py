@@ -15,7 +15,7 @@ from pitsignal.llm.near_copies import near_copies
 from pitsignal.llm.packing import pack_evidence
 from pitsignal.llm.quality_model import grade_evidence
 from pitsignal.llm.quality_rules import weigh_evidence
-from pitsignal.llm.resharding import plan_shards, rewrite_shards
+from pitsignal.llm.resharding import plan_shards, read_shards, rewrite_shards
 from pitsignal.llm.token_files import read_token_files, write_token_files
 from pitsignal.llm.toxicity import flag_evidence
 from pitsignal.session import cut_lineage, scratch_path
@@ -148,8 +148,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(spark, sf_dir).select("item_id", "content", F.coalesce(F.pmod(F.crc32("tool"), F.lit(OLD_SHARDS)), F.lit(0)).cast("int").alias("shard"))
     path = scratch_path(spark, "shards")
-    rewrite_shards(plan_shards(rows, SHARDS), path)
-    return spark.read.parquet(path).select(
+    planned = plan_shards(rows, SHARDS)
+    _, unaffected = rewrite_shards(planned, path)
+    return read_shards(planned, path, unaffected).select(
         F.col("item_id").alias("doc_id"),
         "size",
         F.crc32(F.coalesce("content", F.lit("")).cast("binary")).alias("text_crc32"),

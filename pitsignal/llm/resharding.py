@@ -154,14 +154,29 @@ def plan_shards(evidence: DataFrame, shards: int, *, block_bytes: int = BLOCK_BY
     )
 
 
-def rewrite_shards(planned: DataFrame, path: str) -> None:
+def rewrite_shards(planned: DataFrame, path: str) -> tuple[list[int], list[int]]:
     """Write the shards that lose or gain an item to `path`/shard=<number>, one folder a shard.
 
     Tasks write the blocks they hold; a shard is therefore several files and no task writes it whole.
-    A shard whose items all stay is not written: its old files remain valid.
+    A shard whose items all stay is not written: its old files remain valid. Returns the numbers of
+    the written shards and those of the others that hold items.
     """
-    ends = F.array("new_shard", F.coalesce(F.col("shard"), F.lit(0)).cast("int"))
-    # one row per shard
-    affected = [r["s"] for r in planned.where("moved").select(F.explode(ends).alias("s")).distinct().collect()]
-    rows = planned.where(F.col("new_shard").isin(affected)).drop("shard", "moved").withColumnRenamed("new_shard", "shard")
+    old = F.coalesce(F.col("shard"), F.lit(0)).cast("int").alias("old")
+    # one row per pair of shards
+    ways = {(r["old"], r["new_shard"]) for r in planned.select(old, "new_shard").distinct().collect()}
+    affected = sorted({s for way in ways if way[0] != way[1] for s in way})
+    rows = _as_written(planned.where(F.col("new_shard").isin(affected)))
     rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return affected, sorted({new for _, new in ways} - set(affected))
+
+
+def read_shards(planned: DataFrame, path: str, unaffected: Sequence[int]) -> DataFrame:
+    """All items in their new shards: written ones from `path`, the `unaffected`, whose files are the old ones, from the plan."""
+    others = _as_written(planned.where(F.col("new_shard").isin(list(unaffected))))
+    # without a schema a folder without files, as of an empty table, cannot be read
+    written = planned.sparkSession.read.schema(others.schema).parquet(path).select(*others.columns)
+    return written.unionByName(others) if unaffected else written
+
+
+def _as_written(planned: DataFrame) -> DataFrame:
+    return planned.drop("shard", "moved").withColumnRenamed("new_shard", "shard")

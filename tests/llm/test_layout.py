@@ -245,6 +245,24 @@ def test_op10_sizes_slots_and_texts(spark):
     assert all(abs(sizes[k] - even) <= 2 * largest for k in range(16))
 
 
+def test_op10_returns_unaffected_shards_and_empty_tables(spark, tmp_path):
+    """Old shard 3 has its new capacity to the byte, so it is not rewritten; its rows belong to the result."""
+    named = {zlib.crc32(f"s{i}".encode()) % 12: f"s{i}" for i in range(200)}
+    rows = [(i, "x" * 99, "en", named[3], 99) for i in range(20)]
+    rows += [(100 + i, "y" * 99, "en", named[i % 2], 99) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "part/documents.parquet"))
+    got = entry.queries()["op10_resharding"](spark, str(tmp_path / "part")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.shard for r in got if r.doc_id < 100} == {3}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(20)) for s in slots.values())
+    docs.limit(0).write.parquet(str(tmp_path / "empty/documents.parquet"))
+    assert entry.queries()["op10_resharding"](spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_resharding_moves_only_what_must(spark, tmp_path):
     rows = [(i, "x" * 9, 0) for i in range(300)] + [(1000 + i, "x" * 9, 1) for i in range(100)] + [(None, None, None), (5, None, 2), (5, None, 2)]
     frame = spark.createDataFrame(rows, "item_id long, content string, shard int").selectExpr("*", "1 as slot", "2 as size")
