@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RATIO = 0.05
-MIN_ITEMS = 10
+FLOOR = 3  # items below which a share of a small tool says nothing
+MIN_ITEMS = 10  # the floor in the SQL text of op3
 SALTS = 32
 
 
@@ -18,7 +19,7 @@ def _line_hashes(content: Column) -> Column:
     )
 
 
-def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_items: int = MIN_ITEMS) -> DataFrame:
+def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_items: int = FLOOR) -> DataFrame:
     """tool and the hashes of its boilerplate lines.
 
     A line is boilerplate if it is in at least `min_items` items of the tool and in more than
@@ -34,8 +35,8 @@ def boilerplate_lines(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_
     return frequent.groupBy("tool").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_items: int = MIN_ITEMS) -> DataFrame:
-    """Evidence without the lines that exceed the boilerplate ratio within their tool.
+def drop_boilerplate(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_items: int = FLOOR) -> DataFrame:
+    """Evidence without the lines that exceed the boilerplate ratio within their tool, in `min_items` items at least.
 
     Expects item_id, tool (the site of the text; null is a tool of its own) and content. Returns all input
     columns with content rewritten, plus n_lines and n_dropped. Lines are compared without outer

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.llm import oracles
-from pitsignal.llm.boilerplate import drop_boilerplate
+from pitsignal.llm.boilerplate import MIN_ITEMS, drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
 from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells
 from pitsignal.llm.near_copies import near_copies
@@ -90,7 +90,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup", oracles.LINE_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_boilerplate(evidence(spark, sf_dir))
+    cleaned = drop_boilerplate(evidence(spark, sf_dir), min_items=MIN_ITEMS)
     return cleaned.select(
         F.col("item_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256")
     )

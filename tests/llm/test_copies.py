@@ -191,3 +191,12 @@ def test_pipeline_drops_copies_of_similarity_08(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
     kept = corpus_pipeline.drop_copies(spark, frame, SMALL).collect()
     assert {r.doc_id for r in kept} == set(brute_similar(rows).values())
+
+
+def test_lines_of_small_hosts_go_by_the_ratio(spark):
+    rows = [(i, f"menu\npage {i}", "nine") for i in range(9)] + [(100 + i, f"{'foot' if i < 9 else 'x'}\nbody {i}", "ten") for i in range(10)]
+    rows += [(200 + i, "pair\nbody", "two") for i in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame, SMALL).collect()}
+    want = {r[0]: r[1] for r in rows} | {i: f"page {i}" for i in range(9)} | {100 + i: f"body {i}" for i in range(9)}
+    assert got == want
