@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from pitsignal.llm import toxicity
 from pitsignal.llm.quality_model import fit, grade_evidence
 from pitsignal.llm.quality_rules import RULES, accuracies, learn_rates, vote, weigh_evidence
 from pitsignal.llm.toxicity import best_threshold, flag_evidence, index_texts, window_sums
@@ -138,3 +139,13 @@ def test_flags_held_out_and_odd_rows(spark):
 def test_vote_order_is_reject_first(spark):
     row = spark.range(1).selectExpr("10L as n_words", "5L as n_symbols", "0L as n_upper", "50L as word_chars")
     assert row.select(vote(RULES[0]).alias("v")).first().v == -1
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200)
+    rows = [(i, "en", "x" * (10 if i % 10 else 60 if i % 20 else 500), i % 2) for i in range(1, 41)]
+    rows += [(i, "en", "x" * 500, i % 2) for i in range(100, 140)]
+    frame = spark.createDataFrame(rows, "item_id long, lang string, content string, _label int")
+    picked, _ = toxicity._sample(frame.drop("_label"), frame.select("item_id", "_label"))
+    sizes = {label: sum(len(r["content"]) for r in picked if r["_label"] == label) for label in (0, 1)}
+    assert sizes[1] == 100 and 90 < sizes[0] <= 100
