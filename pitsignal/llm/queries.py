@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.llm import oracles
+from pitsignal.llm.alignment import align_evidence
 from pitsignal.llm.boilerplate import MIN_ITEMS, drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
 from pitsignal.llm.merkle import folded, path_digest, record_digest, seal_evidence
@@ -162,6 +163,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")
+    return align_evidence(evidence(spark, sf_dir), first, second, scratch_path(spark, "alignment")).withColumnRenamed("item_id", "doc_id")
+
+
 @query("op13_merkle_manifest", oracles.MERKLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
