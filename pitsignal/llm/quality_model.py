@@ -105,11 +105,12 @@ def score_column(model: QuadraticModel | None, features: Column) -> Column:
     return probability(features)
 
 
-def grade_evidence(evidence: DataFrame, reviews: DataFrame, *, label: str = "success") -> DataFrame:
+def grade_evidence(evidence: DataFrame, reviews: DataFrame, *, label: str = "success", reviewed: str = "item_id") -> DataFrame:
     """Quality score of every evidence item, learned from the items whose review says so.
 
     `evidence`: item_id, content. `reviews`: item_id and `label` (0/1; null ignored); pass only the
-    rows that may be learned from. Returns item_id, score (0 to 1, higher means label 1 likelier),
+    rows that may be learned from. `reviewed` names what reviews call item_id where the evidence has a
+    wider key (a struct item_id that tells texts of one id apart). Returns item_id, score (0 to 1, higher means label 1 likelier),
     predicted (score >= 0.5), one row per evidence row.
 
     Null and empty content have zero statistics and get a score like any other. Without reviews of
@@ -119,7 +120,7 @@ def grade_evidence(evidence: DataFrame, reviews: DataFrame, *, label: str = "suc
     """
     stats = cut_lineage(transformed(evidence))
     marks = reviews.select(F.col("item_id").alias("_item"), F.col(label).cast("int").alias("_label"))
-    labelled = stats.join(marks, F.col("item_id") == F.col("_item")).select("features", "_label")
+    labelled = stats.join(marks, F.col(reviewed) == F.col("_item")).select("features", "_label")
     model = fit(labelled, "_label", 9)
     scored = stats.select("item_id", score_column(model, F.col("features")).alias("score"))
     return scored.select("item_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -18,6 +18,7 @@ from pitsignal.llm.packing import pack_evidence
 from pitsignal.llm.quality_model import grade_evidence
 from pitsignal.llm.quality_rules import weigh_evidence
 from pitsignal.llm.resharding import plan_shards, read_shards, rewrite_shards
+from pitsignal.llm.set_links import link_evidence
 from pitsignal.llm.token_files import read_token_files, write_token_files
 from pitsignal.llm.toxicity import flag_evidence
 from pitsignal.session import cut_lineage, scratch_path
@@ -163,6 +164,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_minhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_evidence(evidence(spark, sf_dir))
+    kept = F.col("item_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return linked.select(F.col("item_id").alias("doc_id"), "n_shingles", "component_id", kept)
+
+
 @query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")
