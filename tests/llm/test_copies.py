@@ -12,7 +12,7 @@ import corpus_pipeline
 from pitsignal.llm import near_copies as nc
 from pitsignal.llm.boilerplate import drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
-from pitsignal.llm.similar_texts import similar_texts
+from pitsignal.llm.set_links import link_evidence
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -181,9 +181,11 @@ def test_similar_texts_equal_brute_force(spark):
     for rows in (edited_texts(), [(d.doc_id, d.text) for d in docs]):
         frame = spark.createDataFrame(rows, "item_id long, content string").repartition(5)
         want = brute_similar(rows)
-        got = similar_texts(frame.unionByName(frame.limit(1)).union(spark.createDataFrame([(None, "Short text")], frame.schema)))
-        assert {r.item_id: r.component_id for r in got.collect()} == want
-    assert similar_texts(frame.limit(0)).count() == 0
+        twice = frame.unionByName(frame.limit(1)).union(spark.createDataFrame([(None, "Short text")], frame.schema))
+        got = link_evidence(twice, shingle=5, percent=80, fingerprints_too=True, empty_linked=True)
+        short = {7} if rows[0][0] == 1000 else {None}
+        found = {(r.item_id, r.component_id) for r in got.collect()}
+        assert {r for r in found if r[0] is not None} == set(want.items()) and {c for i, c in found if i is None} == short
 
 
 def test_pipeline_drops_copies_of_similarity_08(spark):
@@ -193,6 +195,26 @@ def test_pipeline_drops_copies_of_similarity_08(spark):
     assert {r.doc_id for r in kept} == set(brute_similar(rows).values())
 
 
+def test_stages_tell_texts_of_one_id_apart(spark):
+    body = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"else{i}" for i in range(80))
+    rows = [(1, other), (1, body), (2, body + " more"), (None, "alone here"), (None, "alone here"), (None, "alone there"), (3, ""), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, frame, SMALL).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, other), (1, body), (None, "alone here"), (None, "alone there"), (3, "")], key=repr)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    marked = {q: docs.join(spark.read.parquet(f"{SMALL}/labels.parquet").where(f"quality = {q}"), "doc_id").select(docs.columns) for q in (0, 1)}
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, docs, SMALL).collect()}
+    bad = next(r for r in marked[0].orderBy("doc_id").collect() if (r.doc_id, r.text) not in left)
+    good = next(r for r in marked[1].orderBy("doc_id").collect() if (r.doc_id, r.text) in left)
+    more = docs.union(spark.createDataFrame([(good.doc_id, bad.text, "en", "s", 1), (None, bad.text, "en", "s", 1), (None, good.text, "en", "s", 1)], docs.schema))
+    again = {(r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, more, SMALL).collect()}
+    assert {(good.doc_id, good.text), (None, good.text)} <= again
+    assert not {(good.doc_id, bad.text), (None, bad.text), (bad.doc_id, bad.text)} & again
+    cleaned = corpus_pipeline.drop_lines(spark, frame, SMALL)
+    assert sorted(((r.doc_id, r.text) for r in cleaned.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_lines_of_small_hosts_go_by_the_ratio(spark):
     rows = [(i, f"menu\npage {i}", "nine") for i in range(9)] + [(100 + i, f"{'foot' if i < 9 else 'x'}\nbody {i}", "ten") for i in range(10)]
     rows += [(200 + i, "pair\nbody", "two") for i in range(2)]
