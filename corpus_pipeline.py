@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitsignal.llm.boilerplate import drop_boilerplate
@@ -10,22 +10,22 @@ from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells
 from pitsignal.llm.packing import pack_evidence
 from pitsignal.llm.quality_model import grade_evidence
 from pitsignal.llm.queries import POWERS, as_evidence, public_tokenizer, reviews
-from pitsignal.llm.similar_texts import similar_texts
+from pitsignal.llm.set_links import link_evidence
 from pitsignal.session import cut_lineage, scratch_path
 
-# SQL has no word for the discriminant, the fingerprints or the packing
+# SQL has no word for the discriminant, the signatures or the packing
 ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose quality score, learned from all labels, is below 0.5.
 
-    Rows of one doc_id go or stay together by their worst text. A row without doc_id is judged with
-    the others without one.
+    A row is judged by its own text: rows of one doc_id, or without one, are told apart by it.
     """
-    graded = grade_evidence(as_evidence(docs), reviews(spark, sf_dir), label="success")
-    bad = graded.groupBy("item_id").agg(F.min("predicted").alias("_good")).where("_good = 0").select(F.col("item_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    named = as_evidence(docs).withColumn("item_id", F.struct("item_id", F.xxhash64("content").alias("text_key")))
+    graded = grade_evidence(named, reviews(spark, sf_dir), label="success", reviewed="item_id.item_id")
+    bad = graded.where("predicted = 0").select(F.col("item_id.item_id").alias("_bad"), F.col("item_id.text_key").alias("_key")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +36,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"carried.`{c}`") for c in docs.columns])
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A text for each row that differs where id or text do; rows sort by id, those without one last, then by text hash."""
+    place = F.lpad((F.col(doc_id).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 21, "0")
+    return F.concat(F.coalesce(place, F.lit("no id")), F.lit(" "), F.hex(F.xxhash64(text)), F.hex(F.crc32(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-copy component the document with the smallest doc_id, once.
+    """Keeps of each near-copy component one row: that with the smallest doc_id, of equal ids by the text's hash.
 
-    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles, compared exactly.
-    Documents without doc_id cannot be named by a component and are kept.
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles. The vantage-point search
+    over SimHash fingerprints and, for what lies beyond its radius, MinHash signatures give the
+    candidates; the whole sets decide. Different texts of one doc_id are rows of their own, and rows
+    without doc_id take part like any other. Documents without words are copies of one another.
     """
-    found = similar_texts(as_evidence(docs))
-    first = found.where(F.col("item_id") == F.col("component_id")).select(F.col("item_id").alias("doc_id"))
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = as_evidence(docs).withColumn("item_id", row_key("item_id", "content"))
+    found = link_evidence(rows, shingle=5, percent=80, fingerprints_too=True, empty_linked=True)
+    first = found.where(F.col("item_id") == F.col("component_id")).select(F.col("item_id").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+    return keyed.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
