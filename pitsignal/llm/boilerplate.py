@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitsignal.session import scratch_path
+
 MAX_RATIO = 0.05
 FLOOR = 3  # items below which a share of a small tool says nothing
-MIN_ITEMS = 10  # the floor in the SQL text of op3
 SALTS = 32
 
 
@@ -44,10 +45,15 @@ def drop_boilerplate(evidence: DataFrame, *, max_ratio: float = MAX_RATIO, min_i
     text whose lines all go becomes empty. Repeated rows count as items of their own. An empty table
     gives an empty result. Input columns named n_lines or n_dropped are replaced.
 
-    The list of a tool is bounded, so the join ships small rows; where it does not fit a broadcast
-    by size, the texts are dealt by tool and salt, so that a hot tool is spread over SALTS tasks.
+    The list of a tool is bounded, so the join ships small rows. The lists are written first, so the
+    join is planned by their size: while they fit a broadcast no text is shuffled; else the texts are
+    dealt by tool and salt, so that a hot tool is spread over SALTS tasks.
     """
-    found = boilerplate_lines(evidence, max_ratio=max_ratio, min_items=min_items)
+    spark = evidence.sparkSession
+    path = scratch_path(spark, "boilerplate")
+    lines = boilerplate_lines(evidence, max_ratio=max_ratio, min_items=min_items)
+    lines.write.parquet(path)
+    found = spark.read.schema(lines.schema).parquet(path)
     dropped = found.select(
         F.col("tool").alias("_bp_tool"), F.col("lines").alias("_bp_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_bp_salt")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitsignal.llm.boilerplate import MAX_RATIO, MIN_ITEMS
+from pitsignal.llm.boilerplate import FLOOR, MAX_RATIO
 from pitsignal.llm.mixing import ROUNDS
 from pitsignal.llm.quality_rules import ITERATIONS, MIN_WORDS, MAX_REPEAT_PCT, RULES, SMOOTHING, VOTES
 
@@ -68,7 +68,7 @@ line as materialized (select r, source, generate_subscripts(a, 1) as i, unnest(a
 known as (select *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as bare, regexp_matches(line, '{_WORD}') as wordy from line),
 total as (select source, count(*) as total from doc group by 1),
 often as (select k.source, k.bare from known k join total t on t.source is not distinct from k.source where wordy group by 1, 2
-  having count(distinct r) >= {MIN_ITEMS} and count(distinct r) > {MAX_RATIO} * any_value(t.total)),
+  having count(distinct r) >= {FLOOR} and count(distinct r) > {MAX_RATIO} * any_value(t.total)),
 kept as (select k.r, string_agg(k.line, chr(10) order by i) as text, count(*) as n from known k
   where not (wordy and exists (select 1 from often o where o.source is not distinct from k.source and o.bare = k.bare)) group by 1),
 n as (select r, count(*) as n from line group by 1)

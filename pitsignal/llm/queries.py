@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitsignal.llm import oracles
 from pitsignal.llm.alignment import align_evidence
-from pitsignal.llm.boilerplate import MIN_ITEMS, drop_boilerplate
+from pitsignal.llm.boilerplate import drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
 from pitsignal.llm.merkle import folded, path_digest, record_digest, seal_evidence
 from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells
@@ -88,12 +88,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = grade_evidence(evidence(spark, sf_dir), reviews(spark, sf_dir, 3, 1), label="success")
-    return graded.select(F.col("item_id").alias("doc_id"), (fold("item_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return graded.select(F.col("item_id").alias("doc_id"), F.coalesce(fold("item_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op3_line_dedup", oracles.LINE_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_boilerplate(evidence(spark, sf_dir), min_items=MIN_ITEMS)
+    cleaned = drop_boilerplate(evidence(spark, sf_dir))
     return cleaned.select(
         F.col("item_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256")
     )
@@ -103,7 +103,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = flag_evidence(evidence(spark, sf_dir), reviews(spark, sf_dir, 5, 0), label="toxic")
     return flagged.select(
-        F.col("item_id").alias("doc_id"), (fold("item_id", 5) == 0).alias("held_out"), "score", "predicted", "threshold", "flagged"
+        F.col("item_id").alias("doc_id"), F.coalesce(fold("item_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "threshold", "flagged"
     )
 
 

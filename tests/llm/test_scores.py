@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from pitsignal.llm import toxicity
-from pitsignal.llm.quality_model import fit, grade_evidence
+from pitsignal.llm.quality_model import QuadraticModel, fit, grade_evidence
 from pitsignal.llm.quality_rules import RULES, accuracies, learn_rates, vote, weigh_evidence
 from pitsignal.llm.toxicity import best_threshold, flag_evidence, index_texts, window_sums
 from pitsignal.llm.words import text_measures
@@ -117,6 +117,48 @@ def test_windows_do_not_cross_texts():
     assert three.tolist() == [3, 0, 0, 0, 0, 0, 0, 0]
 
 
+def test_pieces_score_like_a_direct_convolution():
+    """Every window of every width, one by one, with the filter bank of its place."""
+    rng = np.random.default_rng(4)
+    words = [f"wort{i}" for i in range(40)]
+    raw = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 40, 7, 200)] + ["", None]
+    table = rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    banks = rng.normal(size=(toxicity.DIM, len(toxicity.COLUMNS) * toxicity.FILTERS)).astype(np.float32)
+    bias, out = rng.normal(size=(2, len(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32)
+    model = toxicity.ConvModel(table, banks, bias, out, 0.3, {"": 0.5})
+    want = []
+    for text in raw:
+        vectors = [table[a] + table[b] for a, b in map(toxicity.pair_of, (text or "").split())]
+        pooled, block = [], 0
+        for width in toxicity.WIDTHS:
+            best = np.zeros(toxicity.FILTERS)  # the place after the last word counts as zero
+            for at in range(len(vectors) - width + 1):
+                parts = [vectors[at + k] @ banks[:, (block + k) * toxicity.FILTERS : (block + k + 1) * toxicity.FILTERS] for k in range(width)]
+                best = np.maximum(best, sum(parts))
+            pooled.append(best)
+            block += width
+        want.append(np.maximum(np.concatenate(pooled) + bias, 0) @ out + 0.3)
+    assert model.log_odds(index_texts(raw)) == pytest.approx(np.array(want), abs=1e-3)
+    texts = toxicity.gather_texts([toxicity.bucket_codes(t) for t in raw])
+    chosen = np.array([5, 0, 7, 3, 6])
+    for words_at_once in (1, 10, 10_000):
+        got = np.concatenate([model.log_odds(p) for p in toxicity.pieces(texts, chosen, words_at_once)])
+        assert got == pytest.approx(np.array(want)[chosen], abs=1e-3)
+
+
+def test_quality_density_by_hand():
+    means, factors = np.array([[0.0, 1.0], [2.0, -1.0]]), np.array([[[1.0, 0.0], [0.5, 2.0]], [[0.7, 0.0], [-0.2, 1.5]]])
+    covs = factors @ factors.transpose(0, 2, 1)
+    priors = np.log([0.3, 0.7])
+    model = QuadraticModel(means, np.linalg.inv(factors), np.linalg.slogdet(covs)[1], priors)
+    x = np.random.default_rng(2).normal(size=(20, 2))
+    logs = []
+    for k in (0, 1):
+        d = x - means[k]
+        logs.append(priors[k] + np.log(np.exp(-0.5 * (d @ np.linalg.inv(covs[k]) * d).sum(axis=1)) / np.sqrt((2 * np.pi) ** 2 * np.linalg.det(covs[k]))))
+    assert model.log_odds(x) == pytest.approx(logs[1] - logs[0])
+
+
 def test_threshold_has_the_best_f1():
     scores, labels = np.array([0.9, 0.8, 0.4, 0.3, 0.1]), np.array([1, 1, 0, 1, 0])
     f1 = lambda t: 2 * (labels[scores >= t]).sum() / ((scores >= t).sum() + labels.sum())
@@ -147,5 +189,6 @@ def test_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
     rows += [(i, "en", "x" * 500, i % 2) for i in range(100, 140)]
     frame = spark.createDataFrame(rows, "item_id long, lang string, content string, _label int")
     picked, _ = toxicity._sample(frame.drop("_label"), frame.select("item_id", "_label"))
-    sizes = {label: sum(len(r["content"]) for r in picked if r["_label"] == label) for label in (0, 1)}
+    chars = {r[0]: len(r[2]) for r in rows}
+    sizes = {label: sum(chars[r["item_id"]] for r in picked if r["_label"] == label) for label in (0, 1)}
     assert sizes[1] == 100 and 90 < sizes[0] <= 100
