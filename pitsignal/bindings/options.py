@@ -383,7 +383,7 @@ pert as (select chain_id as chain0, chain_id || '~' || band || '~' || trial as c
 @query("F11_quote_perturbation", f"""with {CTE_PERTURB} select chain0 as chain_id, symbol, band, count(*) as trials, min(bid)::double as low_bid, max(bid)::double as high_bid, min(ask)::double as low_ask, max(ask)::double as high_ask,
  min(delta)::double as low_delta, max(delta)::double as high_delta from pert group by all""")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stress._band_rows(chain(spark, sf_dir), stress.BANDS, TRIALS)
+    rows = stress.band_trials(chain(spark, sf_dir), stress.BANDS, TRIALS)
     quotes = stress.perturbed_quotes(rows, seed=SEED).select("chain_id", "symbol", F.col("band.name").alias("band"), "bid", "ask", "delta")
     extremes = [f(c).alias(f"{n}_{c}") for c in ("bid", "ask", "delta") for n, f in (("low", F.min), ("high", F.max))]
     return quotes.groupBy("chain_id", "symbol", "band").agg(F.count(F.lit(1)).alias("trials"), *extremes)
@@ -446,3 +446,29 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("C05_quote_surface_stress", f"{_SUM} {_SUM_A22}, {_SUM_A23} from cmp group by chain_id, option_type, band")
 def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(spark, sf_dir)
+
+
+_REPORT = f"""with {CTE_STRESS}, cmp as (select b.chain_id, b.option_type, bd.band, b.ls as bl, b.ss as bs, b.expiration as be, t.ls, t.ss, t.expiration as te, t.debit, t.net, round(t.debit, 2) as nd
+  from base b join bands bd on true left join tr t on t.chain_id = b.chain_id and t.option_type = b.option_type and t.band = bd.band),
+ sm as (select chain_id, option_type, band, {_SUM_A22}, {_SUM_A23} from cmp group by chain_id, option_type, band),
+ pc as (select chain_id, option_type, band, ls || '|' || ss as pair, count(*) as count from tr group by all),
+ tp as (select chain_id, option_type, band, string_agg(pair || ':' || count, ',' order by place) as top_pairs from (select *, row_number() over (partition by chain_id, option_type, band order by count desc, pair) as place from pc) where place <= 5 group by all),
+ side as (select chain_id, option_type, n from (select chain_id, count(*) as n from chain group by 1), (values ('call'), ('put')) v(option_type))
+ select s.chain_id, {_DIR.replace('option_type', 's.option_type')} as direction, s.n as contract_count, {TRIALS} as trials_per_band, {BUDGET}::double as max_net_debit, b.ls is not null as baseline_constructible,
+  b.ls as base_long_symbol, b.ss as base_short_symbol, b.expiration::varchar as base_expiration, b.net::double as base_net_delta, round(b.debit, 2)::double as base_net_debit,
+  {r('b.net::double/b.debit::double')} as base_delta_per_debit, (round(b.debit, 2)*100)::double as base_max_loss, bd.band, bd.mf as midpoint_fraction, bd.sf as spread_fraction, bd.da as delta_absolute,
+  sm.* exclude (chain_id, option_type, band), tp.top_pairs
+ from side s left join base b on b.chain_id = s.chain_id and b.option_type = s.option_type left join bands bd on b.ls is not null
+ left join sm on sm.chain_id = s.chain_id and sm.option_type = s.option_type and sm.band = bd.band
+ left join tp on tp.chain_id = s.chain_id and tp.option_type = s.option_type and tp.band = bd.band"""
+
+
+@query("C05_stress_report", _REPORT)
+def c05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = stress.stress_report(
+        stress_chain(spark, sf_dir), stressed(spark, sf_dir), stress_base(spark, sf_dir), key="chain_id", policy=POLICY, trials=TRIALS, max_debit="max_net_debit"
+    )
+    listed = F.array_join(F.transform("top_pairs", lambda e: F.concat(e["pair"], F.lit(":"), e["count"].cast("string"))), ",")
+    text = {"base_expiration": F.col("base_expiration").cast("string"), "top_pairs": listed}
+    money = ("max_net_debit", "base_net_delta", "base_net_debit", "base_max_loss")
+    return report.withColumns({**text, **{c: F.col(c).cast("double") for c in money}})

@@ -91,7 +91,7 @@ def leg_points(eligible: DataFrame, keys: Sequence[str], policy: SpreadPolicy) -
     return longs, shorts
 
 
-def _vertical(policy: SpreadPolicy, max_debit: Column | None) -> Column:
+def vertical_condition(policy: SpreadPolicy, max_debit: Column | None) -> Column:
     """Pair condition: strike order by type, 0 < debit < width, net delta floor, debit budget."""
     debit = F.col("long_ask") - F.col("short_bid")
     width = F.col("short_strike") - F.col("long_strike")
@@ -102,13 +102,13 @@ def _vertical(policy: SpreadPolicy, max_debit: Column | None) -> Column:
 
 
 def _pairs(longs: DataFrame, shorts: DataFrame, keys: Sequence[str], policy: SpreadPolicy, max_debit: Column | None) -> DataFrame:
-    joined = longs.join(shorts, [*keys, "expiration", "option_type"]).where(_vertical(policy, max_debit))
+    joined = longs.join(shorts, [*keys, "expiration", "option_type"]).where(vertical_condition(policy, max_debit))
     debit = F.col("long_ask") - F.col("short_bid")
     net = F.col("long.mag") - F.col("short.mag")
     return joined.withColumn("debit", debit).withColumn("net_delta", net).withColumn("score", net / debit)
 
 
-def _rank() -> Column:
+def pair_rank() -> Column:
     """Ascending: best delta per debit, then net delta, cheaper, earlier, smaller symbols. Decimal, so ties are exact."""
     return F.struct(
         (-F.col("score")).alias("s"),
@@ -120,7 +120,7 @@ def _rank() -> Column:
     )
 
 
-_PAIR = ("expiration", "long", "short", "long_strike", "short_strike", "debit", "net_delta", "score")
+PAIR = ("expiration", "long", "short", "long_strike", "short_strike", "debit", "net_delta", "score")
 
 
 def best_short_per_long(
@@ -130,7 +130,7 @@ def best_short_per_long(
     longs, shorts = leg_points(eligible, keys, policy)
     pairs = _pairs(longs, shorts, keys, policy, max_debit)
     best = pairs.groupBy(*keys, "expiration", "option_type", "long_strike", "long_ask").agg(
-        F.min_by(F.struct("long", "short", "short_strike", "debit", "net_delta", "score"), _rank()).alias("_b")
+        F.min_by(F.struct("long", "short", "short_strike", "debit", "net_delta", "score"), pair_rank()).alias("_b")
     )
     return best.select(*keys, "expiration", "option_type", "long_strike", "long_ask", "_b.*")
 
@@ -143,7 +143,7 @@ def vertical_exists(eligible: DataFrame, keys: Sequence[str], policy: SpreadPoli
     same = F.lit(True)
     for g in grid:
         same &= F.col(g) == F.col(f"_{g}")
-    return longs.join(right, same & _vertical(policy, None), "left_semi").select(*keys, "option_type").distinct()
+    return longs.join(right, same & vertical_condition(policy, None), "left_semi").select(*keys, "option_type").distinct()
 
 
 def best_verticals(
@@ -160,7 +160,7 @@ def best_verticals(
     carried = [*keys, max_debit] if max_debit else list(keys)
     longs, shorts = leg_points(eligible_contracts(chain, policy, now), carried, policy)
     pairs = _pairs(longs, shorts, carried, policy, F.col(max_debit) if max_debit else None)
-    best = pairs.groupBy(*keys, "option_type").agg(F.min_by(F.struct(*_PAIR), _rank()).alias("_b"))
+    best = pairs.groupBy(*keys, "option_type").agg(F.min_by(F.struct(*PAIR), pair_rank()).alias("_b"))
     return spread_row(best.select(*keys, "option_type", "_b.*"), keys)
 
 

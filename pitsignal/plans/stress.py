@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.functions.numeric import hash_digest, hash_uniform, quote_quantum
-from pitsignal.operators.spreads import SpreadPolicy, best_verticals
+from pitsignal.functions.contracts import age_in_limit, days_to_expiry
+from pitsignal.functions.numeric import hash_digest, hash_uniform, quote_quantum, relative_spread
+from pitsignal.operators.spreads import PAIR, SpreadPolicy, long_delta_ok, pair_rank, short_delta_ok, spread_row, vertical_condition
 from pitsignal.schemas import DELTA, require_positive
+from pitsignal.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -33,41 +35,42 @@ BANDS = (
 )
 
 
-def perturbed_quotes(rows: DataFrame, *, seed: int) -> DataFrame:
-    """Shift midpoint, half spread and |delta| by hashed uniforms of (seed, band, trial, contract).
+def _shifted(rows: DataFrame, digest: Column, contract: str, name: str) -> DataFrame:
+    """Adds struct `name` (bid, ask, delta): the quotes of struct column `contract` under the digest's three draws.
 
-    Expects `band` (struct) and `trial`; one digest gives the three draws of a row.
+    Each step is a projection of its own, whose columns are read more than once, so that a digest
+    is computed once per row. Expects `band` (struct).
     """
-    c = F.col
-    digest = hash_digest(seed, c("band.name"), c("trial"), c("symbol"))
-    draw = lambda i, width: -width + 2 * width * hash_uniform(c("_digest"), i)
+    c = lambda field: F.col(f"{contract}.{field}")
+    band = lambda field: F.col(f"band.{field}")
+    draw = lambda i, width: -width + 2 * width * hash_uniform(F.col("_digest"), i)
     bid, ask = c("bid").cast("double"), c("ask").cast("double")
-    mid = (bid + ask) / 2 * (1 + draw(0, c("band.midpoint_fraction")))
-    half = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), (ask - bid) / 2) * (1 + draw(1, c("band.spread_fraction"))))
-    magnitude = F.abs(c("delta")).cast("double") + draw(2, c("band.delta_absolute"))
+    mid = (bid + ask) / 2 * (1 + draw(0, band("midpoint_fraction")))
+    half = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), (ask - bid) / 2) * (1 + draw(1, band("spread_fraction"))))
+    magnitude = F.abs(c("delta")).cast("double") + draw(2, band("delta_absolute"))
     clamped = F.round(F.least(F.lit(0.999999), F.greatest(F.lit(0.000001), magnitude)), 6)
     sign = F.when(c("delta") >= 0, 1.0).otherwise(-1.0)
     new_delta = F.when(c("delta").isNotNull(), (sign * clamped).cast(DELTA))
-    new_bid = quote_quantum(F.greatest(F.lit(0.01), c("_q.mid") - c("_q.half")))
-    new_ask = F.greatest(quote_quantum(F.greatest(c("_bid").cast("double"), c("_q.mid") + c("_q.half"))), c("_bid"))
-    quotes = F.struct(mid.alias("mid"), half.alias("half"), new_delta.alias("delta"))
-    kept = [name for name in rows.columns if name not in ("bid", "ask", "delta")]
-    return (
-        _once(_once(_once(rows, "_digest", digest), "_q", quotes), "_bid", new_bid)
-        .select(*kept, c("_bid").alias("bid"), new_ask.alias("ask"), c("_q.delta").alias("delta"))
-    )
+    new_bid = quote_quantum(F.greatest(F.lit(0.01), F.col("_mid") - F.col("_half")))
+    new_ask = F.greatest(quote_quantum(F.greatest(F.col("_bid").cast("double"), F.col("_mid") + F.col("_half"))), F.col("_bid"))
+    kept = rows.columns
+    drawn = rows.withColumn("_digest", digest).select(*kept, mid.alias("_mid"), half.alias("_half"), new_delta.alias("_delta"))
+    quoted = drawn.withColumn("_bid", new_bid)
+    return quoted.select(*kept, F.struct(F.col("_bid").alias("bid"), new_ask.alias("ask"), F.col("_delta").alias("delta")).alias(name))
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row.
+def perturbed_quotes(rows: DataFrame, *, seed: int) -> DataFrame:
+    """Shift midpoint, half spread and |delta| by hashed uniforms of (seed, band, trial, contract).
 
-    Later filters on a projected column would be pushed below it with the whole expression copied
-    into every use; a one-element generator keeps the value and stops that.
+    Expects `band` (struct) and `trial`; one digest gives the three draws of a row.
     """
-    return rows.select("*", F.explode(F.array(value)).alias(name))
+    packed = rows.withColumn("_contract", F.struct("bid", "ask", "delta"))
+    digest = hash_digest(seed, F.col("band.name"), F.col("trial"), F.col("symbol"))
+    kept = [F.col(name) for name in rows.columns if name not in ("bid", "ask", "delta")]
+    return _shifted(packed, digest, "_contract", "_new").select(*kept, "_new.bid", "_new.ask", "_new.delta")
 
 
-def _band_rows(chain: DataFrame, bands: Sequence[Band], trials: int) -> DataFrame:
+def _with_band(chain: DataFrame, bands: Sequence[Band]) -> DataFrame:
     entries = [
         F.struct(
             F.lit(b.name).alias("name"),
@@ -77,24 +80,118 @@ def _band_rows(chain: DataFrame, bands: Sequence[Band], trials: int) -> DataFram
         )
         for b in bands
     ]
-    return chain.withColumn("band", F.explode(F.array(*entries))).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-
-
-def _reachable(policy: SpreadPolicy, bands: Sequence[Band], now: Column) -> Column:
-    """Contracts that can be a leg in some trial: expiry and age do not move, |delta| moves by a band."""
-    from pitsignal.functions.contracts import age_in_limit, days_to_expiry
-
-    slack = max(b.delta_absolute for b in bands) + 1e-6
-    mag = F.abs(F.col("delta")).cast("double")
-    low, high = float(policy.long_delta_min), float(policy.long_delta_max)
-    as_long = mag.between(low - slack, high + slack)
-    as_short = mag.between(float(policy.min_short_abs_delta) - slack, high - float(policy.min_net_delta) + slack)
-    return (
-        policy.is_approved(F.col("underlying"))
-        & days_to_expiry(F.col("expiration"), now).between(policy.min_dte, policy.max_dte)
-        & age_in_limit(F.col("quote_ts"), now, policy.max_quote_age_seconds)
-        & (as_long | as_short)
+    return chain.withColumn("band", F.explode(F.array(*entries)))
+
+
+def _tasks(chain: DataFrame) -> int:
+    """Tasks for rows that are about to fan out: few rows now, so their number must not follow their size."""
+    spark = chain.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def band_trials(chain: DataFrame, bands: Sequence[Band], trials: int) -> DataFrame:
+    """Every contract once per band and trial; contracts are dealt before they fan out."""
+    dealt = chain.repartition(_tasks(chain), "symbol")
+    return _with_band(dealt, bands).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+
+
+# widths by which an interval is taken too wide, against rounding in its ends: a cent, and a delta step
+_CENT, _STEP = 0.01, 1e-5
+
+
+def _intervals(chain: DataFrame, policy: SpreadPolicy, now: Column) -> DataFrame:
+    """Contracts that can pass the eligibility tests under some draw of `band`, with the range of every draw.
+
+    Columns bid_low .. mag_high bound the quotes and |delta| of any trial; `always` tells that the
+    tests of expiry, age and relative spread hold in each trial.
+    """
+    c = F.col
+    bid, ask = c("bid").cast("double"), c("ask").cast("double")
+    mid, half = (bid + ask) / 2, F.greatest(F.lit(0.0), (ask - bid) / 2)
+    m, s, d = c("band.midpoint_fraction"), c("band.spread_fraction"), c("band.delta_absolute")
+    mag = F.abs(c("delta")).cast("double")
+    floor = lambda x: F.greatest(F.lit(0.01), x)
+    ranged = chain.withColumns(
+        {
+            "bid_low": floor(mid * (1 - m) - half * (1 + s) - _CENT),
+            "bid_high": floor(mid * (1 + m) - F.greatest(F.lit(0.0), half * (1 - s))) + _CENT,
+            "ask_low": floor(mid * (1 - m) + F.greatest(F.lit(0.0), half * (1 - s)) - _CENT),
+            "ask_high": floor(mid * (1 + m) + half * (1 + s)) + _CENT,
+            "mag_low": mag - d - _STEP,
+            "mag_high": mag + d + _STEP,
+        }
+    )
+    limit = float(policy.max_relative_spread)
+    widest = (c("ask_high") - c("bid_low")) * 2 / (c("ask_high") + c("bid_low"))
+    # spread and midpoint move on their own: the narrowest spread over the highest midpoint
+    narrowest = (F.greatest(F.lit(0.0), 2 * half * (1 - s)) - 2 * _CENT) / (mid * (1 + m) + _CENT)
+    possible = (
+        c("delta").isNotNull()
+        & policy.is_approved(c("underlying"))
+        & days_to_expiry(c("expiration"), now).between(policy.min_dte, policy.max_dte)
+        & age_in_limit(c("quote_ts"), now, policy.max_quote_age_seconds)
+        & (narrowest <= limit + 1e-9)
+    )
+    return ranged.where(possible).withColumn("always", widest <= limit - 1e-9)
+
+
+def _undominated(legs: DataFrame, grid: Sequence[str], best: str, cost: str, side: int) -> DataFrame:
+    """Legs of one strike that are not surely worse than the one of surest |delta| in quote and |delta| alike.
+
+    `side` is 1 for long legs (large |delta| and low ask win) and -1 for short ones.
+    """
+    sure, worst = (f"mag_{best}", f"{cost}_high") if side > 0 else (f"mag_{best}", f"{cost}_low")
+    lead = F.struct((side * F.col(sure)).alias("m"), (-side * F.col(worst)).alias("q"))
+    leads = legs.where("steady").groupBy(*grid).agg(F.max(lead).alias("_lead"))
+    joined = legs.join(leads, list(grid), "left")
+    own_mag = side * F.col("mag_high" if side > 0 else "mag_low")
+    own_cost = -side * F.col(f"{cost}_low" if side > 0 else f"{cost}_high")
+    worse = (own_mag < F.col("_lead.m")) & (own_cost < F.col("_lead.q"))
+    return joined.where(F.col("_lead").isNull() | ~worse).drop("_lead")
+
+
+def contending_pairs(
+    chain: DataFrame, *, key: str, policy: SpreadPolicy, now: Column, max_debit: str, bands: Sequence[Band] = BANDS
+) -> DataFrame:
+    """Leg pairs per (chain, option type, band) that can rank first in some trial.
+
+    Interval bounds of quotes and |delta| leave out, before any trial is drawn, pairs that never meet
+    the conditions of a vertical and pairs whose best score is below the worst score of a pair that
+    meets them in every trial. Contracts of one strike are thinned first, so that pairs grow with the
+    listing grid and not with the contracts.
+    """
+    c = F.col
+    long_min, long_max = float(policy.long_delta_min), float(policy.long_delta_max)
+    short_min, net_min = float(policy.min_short_abs_delta), float(policy.min_net_delta)
+    grid = [key, "band", "expiration", "option_type", "strike"]
+    rows = _intervals(_with_band(chain, bands), policy, now)
+    longs = rows.where((c("mag_high") >= long_min) & (c("mag_low") <= long_max))
+    longs = longs.withColumn("steady", c("always") & (c("mag_low") >= long_min) & (c("mag_high") <= long_max))
+    shorts = rows.where((c("mag_high") >= short_min) & (c("mag_low") <= long_max - net_min))
+    shorts = shorts.withColumn("steady", c("always") & (c("mag_low") >= short_min))
+    fields = ("symbol", "bid", "ask", "delta", "quote_ts", "strike", "bid_low", "bid_high", "ask_low", "ask_high", "mag_low", "mag_high", "steady")
+    shared = [key, "band", "expiration", "option_type"]
+    left = _undominated(longs, grid, "low", "ask", 1).select(*shared, max_debit, F.struct(*fields).alias("_l"))
+    right = _undominated(shorts, grid, "high", "bid", -1).select(*shared, F.struct(*fields).alias("_s"))
+    width = (c("_s.strike") - c("_l.strike")).cast("double") * F.when(c("option_type") == "call", 1).otherwise(-1)
+    budget = c(max_debit).cast("double")
+    bounds = left.join(right, shared).select(
+        "*",
+        width.alias("_width"),
+        (c("_l.ask_low") - c("_s.bid_high")).alias("_debit_low"),
+        (c("_l.ask_high") - c("_s.bid_low")).alias("_debit_high"),
+        (c("_l.mag_low") - c("_s.mag_high")).alias("_net_low"),
+        (c("_l.mag_high") - c("_s.mag_low")).alias("_net_high"),
     )
+    can = (c("_width") > 0) & (c("_debit_high") > 0) & (c("_debit_low") < c("_width")) & (c("_net_high") >= net_min) & (c("_debit_low") <= budget)
+    must = c("_l.steady") & c("_s.steady") & (c("_debit_low") > 0) & (c("_debit_high") < c("_width")) & (c("_net_low") >= net_min) & (c("_debit_high") <= budget)
+    most = c("_net_high") / F.greatest(F.lit(0.01), c("_debit_low"))
+    sure = F.when(must, c("_net_low") / c("_debit_high"))
+    scored = bounds.where(can).select(*shared, max_debit, "_l", "_s", most.alias("_most"), sure.alias("_sure"))
+    scored = cut_lineage(scored)
+    side = [key, "band", "option_type"]
+    floors = scored.groupBy(*side).agg(F.max("_sure").alias("_floor"))
+    return scored.join(floors, side).where(c("_floor").isNull() | (c("_most") >= c("_floor") - 1e-9)).drop("_most", "_sure", "_floor")
 
 
 def stress_trials(
@@ -107,18 +204,45 @@ def stress_trials(
     bands: Sequence[Band] = BANDS,
     trials: int = 2_000,
     seed: int = 20260901,
+    block: int = 50,
 ) -> DataFrame:
     """Best spread of every (chain, band, trial, direction) that has one.
 
-    Contracts no trial can use are dropped before the fan-out; the trials spread a chain over
-    tasks, since (chain, band, trial) is the grouping key.
+    Only contending pairs are drawn. They are dealt by (chain, option type, block of trials) before
+    they fan out, so choosing the best of a trial needs no exchange of the perturbed rows, and a
+    chain is spread over its blocks. A contract's draws hash its own name, so that every pair it is
+    in sees the same quotes.
     """
-    require_positive(trials=trials)
+    require_positive(trials=trials, block=block)
     if len({b.name for b in bands}) != len(bands):
         raise ValueError("band names must be unique")
-    fanned = perturbed_quotes(_band_rows(chain.where(_reachable(policy, bands, now)), bands, trials), seed=seed)
-    named = fanned.withColumn("band", F.col("band.name"))
-    return best_verticals(named, [key, "band", "trial"], policy, now, max_debit)
+    c = F.col
+    pairs = contending_pairs(chain, key=key, policy=policy, now=now, max_debit=max_debit, bands=bands)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // block))).alias("block")
+    dealt = pairs.select("*", blocks).repartition(_tasks(chain), key, "option_type", "block")
+    last = F.least(F.lit(trials), (c("block") + 1) * block)
+    fanned = dealt.withColumn("trial", F.explode(F.sequence(c("block") * block + 1, last)))
+    for contract, name in (("_l", "_nl"), ("_s", "_ns")):
+        digest = hash_digest(seed, c("band.name"), c("trial"), c(f"{contract}.symbol"))
+        fanned = _shifted(fanned, digest, contract, name)
+    leg = lambda old, new: F.struct(
+        c(f"{old}.symbol").alias("symbol"), F.abs(c(f"{new}.delta")).alias("mag"), c(f"{new}.delta").alias("delta"), c(f"{old}.quote_ts").alias("quote_ts")
+    )
+    debit = c("long_ask") - c("short_bid")
+    narrow = lambda new: F.coalesce(relative_spread(c(f"{new}.bid"), c(f"{new}.ask")) <= F.lit(policy.max_relative_spread), F.lit(False))
+    legs = fanned.select(
+        key, "option_type", "block", c("band.name").alias("band"), "trial", max_debit, "expiration",
+        c("_l.strike").alias("long_strike"), c("_s.strike").alias("short_strike"),
+        c("_nl.ask").alias("long_ask"), c("_ns.bid").alias("short_bid"),
+        leg("_l", "_nl").alias("long"), leg("_s", "_ns").alias("short"),
+        (narrow("_nl") & narrow("_ns")).alias("_narrow"),
+    )
+    net = c("long.mag") - c("short.mag")
+    priced = legs.withColumns({"debit": debit, "net_delta": net}).withColumn("score", c("net_delta") / c("debit"))
+    ok = c("_narrow") & long_delta_ok(policy, c("long.delta")) & short_delta_ok(policy, c("short.delta")) & vertical_condition(policy, c(max_debit))
+    # the condition guards the choice and is no filter, which would be pushed below the draws and repeat them
+    best = priced.groupBy(key, "option_type", "block", "band", "trial").agg(F.min_by(F.struct(*PAIR), F.when(ok, pair_rank())).alias("_b"))
+    return spread_row(best.where(c("_b").isNotNull()).select(key, "band", "trial", "option_type", "_b.*"), [key, "band", "trial"])
 
 
 def stress_summary(
@@ -177,3 +301,41 @@ def top_pairs(trials_table: DataFrame, *, key: str, limit: int = 5) -> DataFrame
         "position", F.row_number().over(whole.orderBy(F.desc("count"), "pair"))
     )
     return ranked.where(F.col("position") <= limit)
+
+
+def stress_report(
+    chain: DataFrame,
+    trials_table: DataFrame,
+    baseline: DataFrame,
+    *,
+    key: str,
+    policy: SpreadPolicy,
+    trials: int,
+    max_debit: str,
+    bands: Sequence[Band] = BANDS,
+    top: int = 5,
+) -> DataFrame:
+    """The whole study: each (chain, direction), with a row per band if its baseline is constructible.
+
+    A side without a baseline has one row without band. Columns: contract_count, trials_per_band, the
+    debit budget, baseline_constructible, the baseline's legs and figures (base_*), the band's widths,
+    the columns of stress_summary, and top_pairs (array of pair, count, rate, most frequent first).
+    `baseline` is best_verticals of the chain plus `max_debit` as max_net_debit. The table of trials is
+    read twice, so it is checkpointed.
+    """
+    trials_table = cut_lineage(trials_table)
+    figures = ("long_symbol", "short_symbol", "expiration", "net_delta", "net_debit", "delta_per_debit", "max_loss")
+    counts = chain.groupBy(key).agg(F.count(F.lit(1)).alias("contract_count"), F.max(max_debit).alias("max_net_debit"))
+    sides = counts.withColumn("direction", F.explode(F.array(F.lit("bullish"), F.lit("bearish")))).withColumn("trials_per_band", F.lit(trials))
+    base = baseline.select(key, "direction", F.lit(True).alias("_has"), *[F.col(c).alias(f"base_{c}") for c in figures])
+    named = sides.join(base, [key, "direction"], "left").withColumn("baseline_constructible", F.coalesce("_has", F.lit(False))).drop("_has")
+    widths = F.array(*[F.struct(F.lit(b.name).alias("band"), *[F.lit(w).alias(n) for n, w in (
+        ("midpoint_fraction", b.midpoint_fraction), ("spread_fraction", b.spread_fraction), ("delta_absolute", b.delta_absolute))]) for b in bands])
+    per_band = named.withColumn("_w", F.explode_outer(F.when(F.col("baseline_constructible"), widths))).select("*", "_w.*").drop("_w")
+    summary = stress_summary(trials_table, baseline, key=key, policy=policy, trials=trials, bands=bands)
+    entry = F.struct("position", "pair", "count", "rate")
+    pairs = top_pairs(trials_table, key=key, limit=top).groupBy(key, "direction", "band").agg(F.sort_array(F.collect_list(entry)).alias("top_pairs"))
+    on = [key, "direction", "band"]
+    return per_band.join(summary, on, "left").join(pairs, on, "left").withColumn(
+        "top_pairs", F.transform("top_pairs", lambda e: F.struct(e["pair"].alias("pair"), e["count"].alias("count"), e["rate"].alias("rate")))
+    )

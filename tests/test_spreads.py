@@ -1,4 +1,5 @@
 import itertools
+import random
 from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal as D
 from fractions import Fraction
@@ -113,6 +114,40 @@ def test_stress_is_deterministic_keeps_invariants_and_fails_closed(spark):
         stress.stress_trials(df, key="chain_id", policy=POLICY, now=at(), max_debit="max_net_debit", trials=0)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_bounds_lose_no_best_spread(spark, seed):
+    """Trials over contending pairs equal the best spread over all perturbed contracts, with crowded strikes and wide quotes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(90):
+        strike = 100 + 5 * rng.randrange(6)
+        delta = min(0.95, max(0.02, 0.66 - (strike - 100) * 0.02 + rng.uniform(-0.05, 0.05)))
+        bid = max(0.05, 24 - (strike - 100) * 0.5 + rng.uniform(-2, 2))
+        rows.append(contract(f"C{i}", strike, round(bid, 2), round(bid * (1 + rng.choice([0.01, 0.1, 0.27])), 2), round(delta, 4)))
+    df = table(spark, rows).withColumn("max_net_debit", F.lit(D("9")).cast("decimal(18,4)"))
+    pairs = stress.contending_pairs(df, key="chain_id", policy=POLICY, now=at(), max_debit="max_net_debit")
+    got = stress.stress_trials(df, key="chain_id", policy=POLICY, now=at(), max_debit="max_net_debit", trials=37, seed=seed, block=5)
+    all_rows = stress.perturbed_quotes(stress.band_trials(df, stress.BANDS, 37), seed=seed).withColumn("band", F.col("band.name"))
+    want = spreads.best_verticals(all_rows, ["chain_id", "band", "trial"], POLICY, at(), "max_net_debit")
+    columns = sorted(want.columns)
+    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect()) and got.count() > 30
+    assert 0 < pairs.count() < 3 * 90 * 89 / 4
+
+
+def test_report_has_a_row_for_a_side_without_baseline(spark):
+    rows = [contract(f"K{k}", k, 20 - (k - 100) * 0.3, 20.2 - (k - 100) * 0.3, 0.62 - (k - 100) * 0.009) for k in range(100, 155, 5)]
+    df = table(spark, rows).withColumn("max_net_debit", F.lit(D("15")).cast("decimal(18,4)"))
+    common = dict(key="chain_id", policy=POLICY, trials=10, max_debit="max_net_debit")
+    run = stress.stress_trials(df, key="chain_id", policy=POLICY, now=at(), max_debit="max_net_debit", trials=10)
+    base = spreads.best_verticals(df, ["chain_id"], POLICY, at(), "max_net_debit").withColumn("max_net_debit", F.lit(D("15")))
+    got = stress.stress_report(df, run, base, **common).collect()
+    none = [r for r in got if not r.baseline_constructible]
+    assert [(r.direction, r.contract_count, r.band, r.base_long_symbol, r.top_pairs) for r in none] == [("bearish", len(rows), None, None, None)]
+    sides = [r for r in got if r.baseline_constructible]
+    assert {r.band for r in sides} == {"micro", "small", "moderate"} and all(r.trials_per_band == 10 for r in sides)
+    assert all(sum(p["count"] for p in r.top_pairs) == r.candidate_count for r in sides if len(r.top_pairs) < 5)
+
+
 RISK = risk.RiskPolicy(approved=("ABC",), final_entry_cutoff=datetime(2026, 9, 4, 14, 0, tzinfo=timezone.utc))
 IN = "underlying string, max_loss decimal(18,2), starting_equity decimal(18,2), buying_power decimal(18,2), aggregate_defined_loss decimal(18,2), open_underlyings array<string>, quote_ts timestamp, now timestamp"
 
