@@ -9,7 +9,7 @@ from pitsignal.bindings.base import load, query
 from pitsignal.functions.clock import local_date
 from pitsignal.streaming import bars as sb
 from pitsignal.streaming import episodes as se
-from pitsignal.streaming.run import file_stream, run_available
+from pitsignal.streaming.run import file_stream, run_available, with_end
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,10 @@ def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("K03_late_abstain", f"""with {_ROUTED} select symbol, d::varchar as session_date, count(*) as late_events, 'late_start' as reason from rt
- where route = 'late' and d + interval 1 day <= {_WM} group by 1, 2""")
+ where route = 'late' group by 1, 2""")
 def k03_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_available(sb.abstain_rows(routed(spark, sf_dir), tz="UTC"), "k03-late")
+    stream, finish = with_end(routed(spark, sf_dir), "ts")
+    return run_available(sb.abstain_rows(stream, tz="UTC"), "k03-late", ends=[finish])
 
 
 # stand-in for the legal-transition table over the event types
@@ -63,7 +64,7 @@ STEPS = {"view": ("click", "purchase"), "click": ("purchase", "view", "signup"),
 _PAIRS = "(" + ", ".join(f"'{a}>{b}'" for a, t in STEPS.items() for b in t) + ")"
 
 
-@query("K04_episode_machine", f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events where epoch_ms(ts) < (select epoch_ms(max(ts)) - 900000 from events)),
+@query("K04_episode_machine", f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
  m as (select user_id, i, event_id, 'view' as s0, event_type as req, case when event_type = 'view' then 'repeat' when 'view>' || event_type in {_PAIRS} then 'applied' else 'illegal' end as o from q where i = 1
  union all select q.user_id, q.i, q.event_id, case when m.o = 'applied' then m.req else m.s0 end, q.event_type,
   case when q.event_type = (case when m.o = 'applied' then m.req else m.s0 end) then 'repeat' when (case when m.o = 'applied' then m.req else m.s0 end) || '>' || q.event_type in {_PAIRS} then 'applied' else 'illegal' end
@@ -71,12 +72,15 @@ _PAIRS = "(" + ", ".join(f"'{a}>{b}'" for a, t in STEPS.items() for b in t) + ")
  select user_id as episode_id, event_id as transition_id, s0 as from_state, req as to_state, o as outcome from m""")
 def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = events_stream(spark, sf_dir).select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("requested"), "ts")
-    return run_available(se.episode_steps(requests, allowed=STEPS, initial="view"), "k04")
+    stream, finish = with_end(requests, "ts")
+    # the table holds 30 days: a finished episode leaves once none of its requests can come any more
+    machine = se.episode_steps(stream, allowed=STEPS, initial="view", retain_seconds=31 * 86_400)
+    return run_available(machine, "k04", ends=[finish], keyed=True)
 
 
 @query("K05_order_timeouts", f"""with o as (select event_id // 2 as order_id, ts as t0, case (event_id // 2) % 3 when 0 then 180 when 1 then 120 else 30 end as lim from events where event_id % 2 = 0),
  f as (select event_id // 2 as order_id, ts as t1 from events where event_id % 2 = 1 and event_type in ('view', 'click', 'purchase')), j as (select o.*, epoch_us(t0) // 1000 + lim*1000 as dl, epoch_us(t1) // 1000 as b from o left join f using (order_id))
- select order_id, case when b <= dl then 'filled' else 'timed_out' end as outcome, case when b <= dl then b else dl end as at_ms from j where b is not null or dl <= epoch_us({_WM}) // 1000""")
+ select order_id, case when b <= dl then 'filled' else 'timed_out' end as outcome, case when b <= dl then b else dl end as at_ms from j""")
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     order = F.floor(e / 2)
@@ -84,16 +88,17 @@ def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     phase = F.when(order % 3 == 0, "open").when(order % 3 == 1, "close").otherwise("cancel")
     rows = events_stream(spark, sf_dir).where(sent | F.col("event_type").isin("view", "click", "purchase"))
     orders = rows.select(order.alias("order_id"), F.when(sent, "submitted").otherwise("filled").alias("kind"), phase.alias("phase"), "ts")
-    return run_available(se.order_timeouts(orders), "k05")
+    stream, finish = with_end(orders, "ts")
+    return run_available(se.order_timeouts(stream), "k05", ends=[finish], keyed=True)
 
 
-@query("K06_quote_freshness", """with d as (select event_id, user_id, ts from events where event_type = 'purchase'), q as (select event_id, user_id, ts from events where event_type <> 'purchase'),
- wm as (select least((select max(ts) from d), (select max(ts) from q)) - interval 15 minutes as w)
+@query("K06_quote_freshness", """with d as (select event_id, user_id, ts from events where event_type = 'purchase'), q as (select event_id, user_id, ts from events where event_type <> 'purchase')
  select d.event_id as decision_id, max_by(q.event_id, row(q.ts, q.event_id)) as quote_id, strftime(max(q.ts), '%Y-%m-%d %H:%M:%S') as quoted_at, max(q.event_id) is null as refused
- from d left join q on q.user_id = d.user_id and q.ts <= d.ts and q.ts >= d.ts - interval 14400 seconds
- where q.event_id is not null or epoch_ms(d.ts) < (select epoch_ms(w) from wm) group by 1""")
+ from d left join q on q.user_id = d.user_id and q.ts <= d.ts and q.ts >= d.ts - interval 14400 seconds group by 1""")
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = F.col("event_type") == "purchase"
     decisions = events_stream(spark, sf_dir).where(bought).select(F.col("event_id").alias("decision_id"), F.col("ts").alias("decided_at"), "user_id")
     quotes = events_stream(spark, sf_dir).where(~bought).select(F.col("event_id").alias("quote_id"), F.col("ts").alias("quoted_at"), "user_id")
-    return sb.freshest(run_available(sb.fresh_quotes(decisions, quotes, key="user_id", max_age_seconds=14400), "k06"))
+    (decisions, no_more_decisions), (quotes, no_more_quotes) = with_end(decisions, "decided_at"), with_end(quotes, "quoted_at")
+    pairs = run_available(sb.fresh_quotes(decisions, quotes, key="user_id", max_age_seconds=14400), "k06", ends=[no_more_decisions, no_more_quotes])
+    return sb.freshest(pairs)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitsignal.functions.clock import local_date, wall_to_utc
+from pitsignal.streaming.run import watermarked
 
 FEED_DELAY = "15 minutes"  # fixed value: delay of the recorded feed
 
@@ -59,7 +60,7 @@ def abstain_rows(routed: DataFrame, *, tz: str, delay: str = FEED_DELAY) -> Data
     On a stream a session's row is emitted once the watermark of all events, late or not, passes its
     end; the state is one row per symbol and open session. The watermark follows the wall clock of `tz`.
     """
-    wall = routed.withColumn("_wall", F.from_utc_timestamp("ts", tz)).withWatermark("_wall", delay)
+    wall = watermarked(routed.withColumn("_wall", F.from_utc_timestamp("ts", tz)), "_wall", delay)
     counted = wall.groupBy(F.window("_wall", "1 day"), "symbol").agg(F.count_if(F.col("route") == "late").alias("late_events"))
     day = F.floor(F.unix_micros("window.start") / 86_400_000_000).cast("int")
     return counted.where("late_events > 0").select(
@@ -73,8 +74,8 @@ def fresh_quotes(decisions: DataFrame, quotes: DataFrame, *, key: str, max_age_s
     Expects decision_id, decided_at, `key` on the left and quote_id, quoted_at, `key` on the right. A
     decision without a fresh quote has one row with null quote columns, once the watermark has passed it.
     """
-    left = decisions.withWatermark("decided_at", delay)
-    right = quotes.withColumnRenamed(key, "_quote_key").withWatermark("quoted_at", delay)
+    left = watermarked(decisions, "decided_at", delay)
+    right = watermarked(quotes.withColumnRenamed(key, "_quote_key"), "quoted_at", delay)
     age = F.expr(f"interval {int(max_age_seconds)} seconds")
     inside = (F.col("quoted_at") <= F.col("decided_at")) & (F.col("quoted_at") >= F.col("decided_at") - age)
     return left.join(right, (F.col(key) == F.col("_quote_key")) & inside, "left_outer").drop("_quote_key")

@@ -1,4 +1,7 @@
-"""Episode state machine and open-order timeouts as keyed streaming state."""
+"""Episode state machine and open-order timeouts as keyed streaming state with event-time timers.
+
+Start these streams with `run_available(..., keyed=True)`: typed state needs the keyed state store.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,9 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from pitsignal.streaming.run import watermarked
 
 STEP_SCHEMA = "episode_id bigint, transition_id bigint, from_state string, to_state string, outcome string"
 TIMEOUT_SCHEMA = "order_id bigint, outcome string, at_ms bigint"
@@ -16,6 +21,150 @@ TIMEOUT_SCHEMA = "order_id bigint, outcome string, at_ms bigint"
 PHASE_LIMITS = {"open": 180, "close": 120, "cancel": 30}
 
 
+class EpisodeMachine(StatefulProcessor):
+    """One episode: its state as a value, each request that waits as an entry of a list, one timer ahead.
+
+    A timer stands one millisecond after the earliest waiting request, or where a finished episode leaves.
+    """
+
+    def __init__(self, allowed: Mapping[str, Sequence[str]], initial: str, retain_ms: int | None) -> None:
+        self._allowed = {state: frozenset(targets) for state, targets in allowed.items()}
+        self._initial, self._retain = initial, retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        # name, time of the last applied request, and the timer that is set
+        self._episode = handle.getValueState("episode", "name string, last bigint, timer bigint")
+        self._waiting = handle.getListState("waiting", "at bigint, transition_id bigint, requested string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        name, last, timer = self._episode.get() or (self._initial, -1, -1)
+        due, held = [], []
+        for chunk in rows:
+            for request in zip(chunk["ms"].tolist(), chunk["transition_id"].tolist(), chunk["requested"].tolist()):
+                (due if request[0] < passed else held).append(request)
+        if held:
+            self._waiting.appendList(held)
+            timer = self._set_timer(timer, min(r[0] for r in held) + 1)
+        if due:
+            # a late request is applied when it comes, in id order with those that the timer is about to take
+            waiting = list(self._waiting.get())
+            if any(w[0] < passed for w in waiting):
+                due += [w for w in waiting if w[0] < passed]
+                left = [w for w in waiting if w[0] >= passed]
+                self._waiting.put(left) if left else self._waiting.clear()
+            name, last, steps = self._apply(key, name, last, due)
+            yield _frame(steps, STEP_SCHEMA)
+        if not held and timer < 0:
+            timer = self._leave_timer(name, last, passed)
+        self._episode.update((name, last, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        if not self._episode.exists():
+            return
+        name, last, timer = self._episode.get()
+        waiting = list(self._waiting.get())
+        due = [w for w in waiting if w[0] < passed]
+        left = [w for w in waiting if w[0] >= passed]
+        if due:
+            self._waiting.put(left) if left else self._waiting.clear()
+            name, last, steps = self._apply(key, name, last, due)
+            yield _frame(steps, STEP_SCHEMA)
+        if fired == timer:
+            timer = -1
+        if left:
+            timer = self._set_timer(timer, max(min(w[0] for w in left) + 1, passed + 1))
+        elif timer < 0:
+            if self._retain is not None and not self._allowed.get(name) and last + self._retain <= passed:
+                self._episode.clear()
+                return
+            timer = self._leave_timer(name, last, passed)
+        self._episode.update((name, last, timer))
+
+    def close(self) -> None:
+        pass
+
+    def _apply(self, key, name: str, last: int, due: list) -> tuple[str, int, list]:
+        steps = []
+        for at, number, requested in sorted(due, key=lambda r: (r[1], r[0], r[2])):
+            outcome = "repeat" if requested == name else "applied" if requested in self._allowed.get(name, ()) else "illegal"
+            steps.append((key[0], number, name, requested, outcome))
+            name, last = requested if outcome == "applied" else name, max(last, at)
+        return name, last, steps
+
+    def _set_timer(self, timer: int, at: int) -> int:
+        """The earlier of both times; a later timer is replaced."""
+        if 0 <= timer <= at:
+            return timer
+        if timer >= 0:
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(at)
+        return at
+
+    def _leave_timer(self, name: str, last: int, passed: int) -> int:
+        """A timer for a finished episode to leave the state, or none."""
+        if self._retain is None or self._allowed.get(name) or last < 0:
+            return -1
+        return self._set_timer(-1, max(last + self._retain, passed + 1))
+
+
+class OrderWatch(StatefulProcessor):
+    """One order: the earliest limit and the earliest fill, and a timer at the limit."""
+
+    def __init__(self, caps: Mapping[str, int]) -> None:
+        self._caps, self._longest = dict(caps), max(caps.values())
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._order = handle.getValueState("order", "deadline bigint, filled bigint, done boolean, timer bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        deadline, filled, done, timer = self._order.get() or (-1, -1, False, -1)
+        for chunk in rows:
+            for kind, phase, at in zip(chunk["kind"].tolist(), chunk["phase"].tolist(), chunk["ms"].tolist()):
+                if kind == "filled":
+                    filled = at if filled < 0 else min(filled, at)
+                elif not done:
+                    limit = at + self._caps[phase]
+                    deadline = limit if deadline < 0 else min(deadline, limit)
+        if not done and deadline >= 0 and (filled >= 0 or deadline <= passed):
+            done = True
+            yield _decided(key, deadline, filled)
+        keep_until = deadline if deadline >= 0 else filled + self._longest
+        if keep_until <= passed:
+            if timer >= 0:
+                self._handle.deleteTimer(timer)
+            self._order.clear()
+            return
+        if timer != keep_until:
+            if timer >= 0:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(keep_until)
+        self._order.update((deadline, filled, done, keep_until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._order.exists():
+            deadline, filled, done, _ = self._order.get()
+            if not done and deadline >= 0:
+                yield _decided(key, deadline, filled)
+            self._order.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[field.split()[0] for field in schema.split(", ")])
+
+
+def _decided(key, deadline: int, filled: int) -> pd.DataFrame:
+    in_time = 0 <= filled <= deadline
+    return _frame([(key[0], "filled" if in_time else "timed_out", filled if in_time else deadline)], TIMEOUT_SCHEMA)
+
+
 def episode_steps(
     requests: DataFrame,
     *,
@@ -33,43 +182,9 @@ def episode_steps(
     state without successors leaves the state when nothing has come for that time; a request after that
     would start anew, so the time must exceed the life of an episode.
     """
-    table = {state: frozenset(targets) for state, targets in allowed.items()}
-    retain = None if retain_seconds is None else retain_seconds * 1000
-
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, ids, wanted, times, last = state.get if state.exists else (initial, [], [], [], -1)
-        waiting = list(zip(ids, wanted, times))
-        passed = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for rows in chunks:
-                waiting += zip(rows["transition_id"].tolist(), rows["requested"].tolist(), rows["ms"].tolist())
-        due = sorted(w for w in waiting if w[2] < passed)
-        waiting = [w for w in waiting if w[2] >= passed]
-        steps = []
-        for number, requested, at in due:
-            last = max(last, at)
-            outcome = "repeat" if requested == current else "applied" if requested in table.get(current, ()) else "illegal"
-            steps.append((key[0], number, current, requested, outcome))
-            current = requested if outcome == "applied" else current
-        if steps:
-            yield pd.DataFrame(steps, columns=["episode_id", "transition_id", "from_state", "to_state", "outcome"])
-        ended = retain is not None and not table.get(current) and not waiting
-        if ended and last + retain <= passed:
-            state.remove()
-            return
-        state.update((current, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(w[2] for w in waiting), passed + 1))
-        elif ended:
-            state.setTimeoutTimestamp(last + retain)
-
-    held = "current string, ids array<bigint>, wanted array<string>, times array<bigint>, last bigint"
-    return (
-        requests.withWatermark("ts", delay)
-        .withColumn("ms", F.unix_millis("ts"))
-        .groupBy("episode_id")
-        .applyInPandasWithState(advance, STEP_SCHEMA, held, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    machine = EpisodeMachine(allowed, initial, None if retain_seconds is None else retain_seconds * 1000)
+    rows = watermarked(requests, "ts", delay).withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("episode_id").transformWithStateInPandas(machine, STEP_SCHEMA, "Append", "EventTime")
 
 
 def order_timeouts(events: DataFrame, *, limits: Mapping[str, int] = PHASE_LIMITS, delay: str = "15 minutes") -> DataFrame:
@@ -81,37 +196,6 @@ def order_timeouts(events: DataFrame, *, limits: Mapping[str, int] = PHASE_LIMIT
     so that a repeat does not decide it again, and then leaves the state; so does a fill whose
     submission has not come when the longest limit has passed.
     """
-    caps = {phase: seconds * 1000 for phase, seconds in limits.items()}
-    longest = max(caps.values())
-
-    def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deadline, filled, done = state.get if state.exists else (-1, -1, False)
-        passed = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for rows in chunks:
-                sent = rows[rows["kind"] == "submitted"]
-                limit = (sent["ms"] + sent["phase"].map(caps)).min() if len(sent) else -1
-                if limit >= 0 and (deadline < 0 or limit < deadline) and not done:
-                    deadline = int(limit)
-                fills = rows.loc[rows["kind"] == "filled", "ms"]
-                if len(fills) and (filled < 0 or fills.min() < filled):
-                    filled = int(fills.min())
-        if not done and deadline >= 0 and (filled >= 0 or deadline <= passed):
-            done = True
-            in_time = 0 <= filled <= deadline
-            yield pd.DataFrame({"order_id": [key[0]], "outcome": ["filled" if in_time else "timed_out"], "at_ms": [filled if in_time else deadline]})
-        keep_until = deadline if deadline >= 0 else filled + longest
-        if state.hasTimedOut or keep_until <= passed:
-            state.remove()
-            return
-        state.update((deadline, filled, done))
-        state.setTimeoutTimestamp(keep_until)
-
-    return (
-        events.withWatermark("ts", delay)
-        .withColumn("ms", F.unix_millis("ts"))
-        .groupBy("order_id")
-        .applyInPandasWithState(
-            watch, TIMEOUT_SCHEMA, "deadline bigint, filled bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    watch = OrderWatch({phase: seconds * 1000 for phase, seconds in limits.items()})
+    rows = watermarked(events, "ts", delay).withColumn("ms", F.unix_millis("ts"))
+    return rows.groupBy("order_id").transformWithStateInPandas(watch, TIMEOUT_SCHEMA, "Append", "EventTime")

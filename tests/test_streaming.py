@@ -7,7 +7,7 @@ from pitsignal.operators.ledger import TRANSITIONS
 from pitsignal.session import scratch_path
 from pitsignal.streaming import bars as sb
 from pitsignal.streaming import episodes as se
-from pitsignal.streaming.run import file_stream, run_available
+from pitsignal.streaming.run import file_stream, run_available, with_end
 
 T0 = datetime(2026, 8, 31, 13, 0)
 
@@ -47,7 +47,7 @@ def test_the_machine_gives_the_same_steps_in_any_arrival_order(spark, order):
     ]
     stream = drip(spark, [batches[i] for i in order], "episode_id long, transition_id long, requested string, ts timestamp")
     machine = se.episode_steps(stream, allowed=TRANSITIONS, initial="COLLECTING", retain_seconds=3600)
-    steps = run_available(machine, "steps").orderBy("transition_id").collect()
+    steps = run_available(machine, "steps", keyed=True).orderBy("transition_id").collect()
     assert [s.outcome for s in steps] == ["applied", "repeat", "illegal", "applied", "applied", "illegal"]
     assert [s.from_state for s in steps] == ["COLLECTING", "FEATURES_FROZEN", "FEATURES_FROZEN", "FEATURES_FROZEN", "COLLECTING", "ABSTAINED"]
 
@@ -61,7 +61,7 @@ def test_a_fill_read_before_its_submission_counts(spark, order):
         [(9, "submitted", "open", at(9000))],
     ]
     stream = drip(spark, [batches[i] for i in order], "order_id long, kind string, phase string, ts timestamp")
-    got = run_available(se.order_timeouts(stream), "timeouts").collect()
+    got = run_available(se.order_timeouts(stream), "timeouts", keyed=True).collect()
     assert sorted((r.order_id, r.outcome) for r in got) == [(1, "filled"), (2, "timed_out")]
 
 
@@ -73,7 +73,7 @@ def test_orders_fill_or_time_out(spark):
         [(4, "filled", "open", at(9001)), (5, "submitted", "open", at(20_000))],
     ]
     stream = drip(spark, batches, "order_id long, kind string, phase string, ts timestamp")
-    got = {r.order_id: (r.outcome, r.at_ms - int(T0.timestamp() * 1000)) for r in run_available(se.order_timeouts(stream), "timeouts").collect()}
+    got = {r.order_id: (r.outcome, r.at_ms - int(T0.timestamp() * 1000)) for r in run_available(se.order_timeouts(stream), "timeouts", keyed=True).collect()}
     base = {k: v[0] for k, v in got.items()}
     assert base == {1: "filled", 2: "timed_out", 3: "timed_out", 4: "filled"}
     assert got[2][1] - got[3][1] == 150_000 and got[1][1] - got[3][1] == 140_000
@@ -95,6 +95,24 @@ def test_freshness_join_and_cutoff(spark):
     assert routed.select(F.count("route")).collect()[0][0] == 3
 
 
+def test_an_ended_source_leaves_nothing_waiting(spark):
+    at = lambda i: T0 + timedelta(seconds=10 * i)
+    batches = [[(1, 1, "FEATURES_FROZEN", at(2)), (1, 0, "ABSTAINED", at(1))], [(2, 3, "FEATURES_FROZEN", at(200)), (1, 2, "ABSTAINED", at(90))]]
+    for retain in (None, 600):
+        stream, finish = with_end(drip(spark, batches, "episode_id long, transition_id long, requested string, ts timestamp"), "ts")
+        machine = se.episode_steps(stream, allowed=TRANSITIONS, initial="COLLECTING", retain_seconds=retain)
+        got = run_available(machine, "ended", ends=[finish], keyed=True).orderBy("transition_id").collect()
+        assert [(r.transition_id, r.from_state, r.outcome) for r in got] == [
+            (0, "COLLECTING", "applied"), (1, "ABSTAINED", "illegal"), (2, "ABSTAINED", "repeat"), (3, "COLLECTING", "applied"),
+        ]
+    orders, finish = with_end(drip(spark, [[(1, "submitted", "open", at(0))], [(2, "filled", "open", at(1))]], "order_id long, kind string, phase string, ts timestamp"), "ts")
+    assert [(r.order_id, r.outcome) for r in run_available(se.order_timeouts(orders), "orders", ends=[finish], keyed=True).collect()] == [(1, "timed_out")]
+    decisions, no_decisions = with_end(drip(spark, [[(1, T0, "A"), (2, T0, "B")]], "decision_id long, decided_at timestamp, k string"), "decided_at")
+    quotes, no_quotes = with_end(drip(spark, [[(10, T0, "A"), (11, T0, "C")]], "quote_id long, quoted_at timestamp, k string"), "quoted_at")
+    pairs = run_available(sb.fresh_quotes(decisions, quotes, key="k"), "pairs", ends=[no_decisions, no_quotes])
+    assert sorted((r.decision_id, r.quote_id, r.refused) for r in sb.freshest(pairs).collect()) == [(1, 10, False), (2, None, True)]
+
+
 def test_late_events_of_a_session_abstain_once_it_is_over(spark):
     late = datetime(2026, 8, 31, 13, 40)
     batches = [
