@@ -235,6 +235,17 @@ def _candidates(nodes: DataFrame, crowd: int) -> DataFrame:
     return signed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long").distinct()
 
 
+def _thinned(stars: DataFrame) -> DataFrame:
+    """The same components from fewer edges: a node keeps its smallest root, to which its other roots are tied.
+
+    A family shares many buckets, each with a root of its own: so every member comes with many roots.
+    """
+    stars = cut_lineage(stars)
+    least = stars.groupBy("a").agg(F.min("b").alias("_least"))
+    tied = stars.join(least, "a").where(F.col("b") != F.col("_least")).select(F.col("b").alias("a"), F.col("_least").alias("b"))
+    return least.select("a", F.col("_least").alias("b")).union(tied.distinct())
+
+
 def _near_bits(nodes: DataFrame) -> DataFrame:
     """(a, b) that join nodes whose SimHash fingerprints the vantage-point search links."""
     firsts = cut_lineage(nodes.groupBy("bits").agg(F.min("node").alias("least")))
@@ -317,7 +328,7 @@ def link_evidence(
     near = _candidates(nodes, crowd)
     if fingerprints_too:
         near = near.union(_near_bits(nodes))
-    roots = components(near).select(F.col("bits").alias("node"), "root")
+    roots = components(_thinned(near)).select(F.col("bits").alias("node"), "root")
     grouped = cut_lineage(nodes.select("node", "item_id", "text_key", "n").join(roots, "node"))
     links, cut = _confirmed(evidence, nodes, grouped, shingle, percent, crowd, crowd_shingles)
     # stars of whole groups are components already
