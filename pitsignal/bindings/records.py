@@ -13,6 +13,7 @@ from pitsignal.functions import text as tx
 from pitsignal.functions.contracts import direction
 from pitsignal.operators import decisions as dec
 from pitsignal.operators import ledger, risk, spreads
+from pitsignal.operators.ordering import with_previous
 from pitsignal.plans import audit
 from pitsignal.schemas import LEDGER
 from pitsignal.session import scratch_path
@@ -199,7 +200,10 @@ STEPS = {"view": ("click", "purchase"), "click": ("purchase", "signup", "error")
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(F.col("transition_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"reason": "r'), (F.col("transition_id") % 5).cast("string"), F.lit('"}')))
-    table = for_spark(spark, sf_dir, TRANSITIONS_SQL)
+    events = load(spark, sf_dir, "events")
+    named = events.select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("to_state"), F.col("ts").cast("timestamp").alias("created_at"))
+    # the state before by id ranges: a user with any number of events is many tasks
+    table = with_previous(named, ["episode_id"], "transition_id", "to_state", "from_state")
     return table.withColumn("payload_json", payload).withColumn("event", F.lit("step"))
 
 

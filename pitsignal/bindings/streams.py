@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsignal.bindings.base import load, query
 from pitsignal.functions.clock import local_date
+from pitsignal.operators.ledger import replay_steps
 from pitsignal.streaming import bars as sb
 from pitsignal.streaming import episodes as se
 from pitsignal.streaming.run import file_stream, run_available, with_end
@@ -64,12 +65,15 @@ STEPS = {"view": ("click", "purchase"), "click": ("purchase", "view", "signup"),
 _PAIRS = "(" + ", ".join(f"'{a}>{b}'" for a, t in STEPS.items() for b in t) + ")"
 
 
-@query("K04_episode_machine", f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
+_MACHINE_SQL = f"""with recursive q as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
  m as (select user_id, i, event_id, 'view' as s0, event_type as req, case when event_type = 'view' then 'repeat' when 'view>' || event_type in {_PAIRS} then 'applied' else 'illegal' end as o from q where i = 1
  union all select q.user_id, q.i, q.event_id, case when m.o = 'applied' then m.req else m.s0 end, q.event_type,
   case when q.event_type = (case when m.o = 'applied' then m.req else m.s0 end) then 'repeat' when (case when m.o = 'applied' then m.req else m.s0 end) || '>' || q.event_type in {_PAIRS} then 'applied' else 'illegal' end
   from m join q on q.user_id = m.user_id and q.i = m.i + 1)
- select user_id as episode_id, event_id as transition_id, s0 as from_state, req as to_state, o as outcome from m""")
+ select user_id as episode_id, event_id as transition_id, s0 as from_state, req as to_state, o as outcome from m"""
+
+
+@query("K04_episode_machine", _MACHINE_SQL)
 def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = events_stream(spark, sf_dir).select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("requested"), "ts")
     stream, finish = with_end(requests, "ts")
@@ -78,6 +82,12 @@ def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(machine, "k04", ends=[finish], keyed=True)
 
 
+@query("W09_replayed_steps", _MACHINE_SQL)
+def w09_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("transition_id"), F.col("event_type").alias("requested"))
+    return replay_steps(rows, allowed=STEPS, initial="view")
+
+
 @query("K05_order_timeouts", f"""with o as (select event_id // 2 as order_id, ts as t0, case (event_id // 2) % 3 when 0 then 180 when 1 then 120 else 30 end as lim from events where event_id % 2 = 0),
  f as (select event_id // 2 as order_id, ts as t1 from events where event_id % 2 = 1 and event_type in ('view', 'click', 'purchase')), j as (select o.*, epoch_us(t0) // 1000 + lim*1000 as dl, epoch_us(t1) // 1000 as b from o left join f using (order_id))
  select order_id, case when b <= dl then 'filled' else 'timed_out' end as outcome, case when b <= dl then b else dl end as at_ms from j""")

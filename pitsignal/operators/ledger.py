@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.operators.ordering import with_previous, with_sequence
+from pitsignal.operators.ordering import range_scan, with_previous, with_sequence
 from pitsignal.schemas import LEDGER, require_columns
 
 # fixed values: legal episode transitions
@@ -120,6 +120,34 @@ def is_legal(current: Column, requested: Column, transitions: Mapping[str, Seque
     return (current == requested) | F.concat(current, F.lit(">"), requested).isin(pairs)
 
 
+def replay_steps(
+    requests: DataFrame, *, allowed: Mapping[str, Sequence[str]] = TRANSITIONS, initial: str = "COLLECTING", width: int = 1024
+) -> DataFrame:
+    """What the episode machine does with recorded requests, in id order: applied, repeat or illegal.
+
+    Expects episode_id, transition_id (unique integer), requested. The batch form of
+    `streaming.episodes.episode_steps`. A request is a map from each known state to the next; the maps of
+    a range of ids compose to one, so an episode of any length is spread over its ranges. A request for
+    an unknown state is illegal.
+    """
+    names = list(dict.fromkeys([initial, *allowed, *(t for targets in allowed.values() for t in targets)]))
+    entry = [
+        F.when(F.col("requested").isin([t for t in allowed.get(state, ()) if t != state]), F.array_position(F.lit(names), F.col("requested")).cast("int") - 1).otherwise(i)
+        for i, state in enumerate(names)
+    ]
+    compose = lambda older, newer: F.transform(older, lambda state: F.get(newer, state))
+    stepped = range_scan(requests, ["episode_id"], "transition_id", F.array(*entry), compose, "_past", width=width)
+    source = F.coalesce(F.get(F.lit(names), F.get("_past", F.lit(0))), F.lit(initial))
+    known = stepped.withColumn("from_state", source)
+    pairs = [f"{a}>{b}" for a, targets in allowed.items() for b in targets]
+    outcome = (
+        F.when(F.col("requested") == F.col("from_state"), "repeat")
+        .when(F.concat("from_state", F.lit(">"), "requested").isin(pairs), "applied")
+        .otherwise("illegal")
+    )
+    return known.select("episode_id", "transition_id", "from_state", F.col("requested").alias("to_state"), outcome.alias("outcome"))
+
+
 def audit_paths(transitions: DataFrame, allowed: Mapping[str, Sequence[str]] = TRANSITIONS) -> DataFrame:
     """Flag illegal steps, gaps in the chain and steps out of a terminal state."""
     stepped = with_previous(transitions, ["episode_id"], "transition_id", "to_state", "_before")

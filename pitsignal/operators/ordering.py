@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,52 @@ def with_sequence(df: DataFrame, keys: Sequence[str], order: str, name: str, *,
     )
 
 
+def range_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    compose: Callable[[Column, Column], Column],
+    name: str,
+    *,
+    width: int = 1024,
+) -> DataFrame:
+    """For every row the composition of the `value` of all earlier rows of its key, null for the first.
+
+    `order` is an integer that is unique within a key. `compose(older, newer)` must be associative; it
+    need not commute and has no inverse. So recurrences fit, where each row maps a running state to the
+    next: the rows' maps are composed, and nothing is collected. Ids are cut into ranges of `width`;
+    within one, log2(width) window steps double the rows a prefix covers, and the ranges' totals are
+    scanned in the same way. A key of any size is spread over its ranges.
+    """
+    if width < 2:
+        raise ValueError("a range must hold two ids at least")
+    ends = df.agg(F.min(order).cast("bigint"), F.max(order).cast("bigint")).first()
+    low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
+    rows = df.withColumn("_v", value)
+    return _scan(rows, list(keys), order, compose, name, width, low, high).select(*df.columns, name)
+
+
+def _scan(
+    rows: DataFrame, keys: list[str], order: str, compose: Callable[[Column, Column], Column], name: str, width: int, low: int, high: int
+) -> DataFrame:
+    ranged = rows.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / width))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    step = 1
+    while step < min(width, high - low + 1):
+        ranged = ranged.withColumn("_before", F.lag("_v", step).over(inside))
+        ranged = ranged.withColumn("_v", F.when(F.col("_before").isNull(), F.col("_v")).otherwise(compose(F.col("_before"), F.col("_v"))))
+        step *= 2
+    own = ranged.withColumn("_before", F.lag("_v").over(inside))
+    if high - low < width:
+        return own.withColumn(name, F.col("_before"))
+    totals = ranged.groupBy(*keys, "_range").agg(F.max_by("_v", order).alias("_v")).withColumnRenamed("_range", "_at")
+    carried = _scan(totals, keys, "_at", compose, "_carry", width, 0, (high - low) // width)
+    carried = carried.select(*keys, F.col("_at").alias("_range"), "_carry")
+    both = F.when(F.col("_before").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_before"))
+    return own.join(carried, [*keys, "_range"]).withColumn(name, both.otherwise(compose(F.col("_carry"), F.col("_before"))))
+
+
 def modal_value(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
     """Most frequent value per key with its count; equal counts take the smaller value."""
     counts = df.groupBy(*keys, value.alias(name)).agg(F.count(F.lit(1)).alias("votes"))

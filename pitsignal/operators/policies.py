@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.operators.metrics import summarize
-from pitsignal.operators.ordering import modal_value
+from pitsignal.operators.ordering import modal_value, range_scan
 from pitsignal.operators.quantiles import exact_quantiles
 
 
@@ -99,17 +99,30 @@ def previous_signal(signals: DataFrame) -> DataFrame:
     return signals.withColumn("previous_choice", choice).withColumn("previous_signal", _follow(F.col("previous_choice")))
 
 
-def ewma_choice(signals: DataFrame, *, half_life: float = 3.0, min_history: int = 3) -> DataFrame:
-    """Sign of the exponentially weighted earlier continuation outcomes."""
+def ewma_choice(signals: DataFrame, *, half_life: float = 3.0, min_history: int = 3, width: int = 1024) -> DataFrame:
+    """Sign of the exponentially weighted earlier continuation outcomes.
+
+    A signal turns the running score s into decay * s + outcome. These maps are composed as pairs of
+    factor and addend over ranges of days, with the count of signals alongside, so a series of any
+    length takes linear work and no list of its past.
+    """
     decay = 0.5 ** (1.0 / half_life)
-    past = F.collect_list("continuation").over(_series().rowsBetween(Window.unboundedPreceding, -1))
-    fold = F.aggregate("_past", F.lit(0.0), lambda acc, x: acc * decay + x)
+    own = F.struct(F.lit(decay).alias("factor"), F.col("continuation").cast("double").alias("addend"), F.lit(1).cast("bigint").alias("rows"))
+
+    def compose(older: Column, newer: Column) -> Column:
+        return F.struct(
+            (older["factor"] * newer["factor"]).alias("factor"),
+            (newer["factor"] * older["addend"] + newer["addend"]).alias("addend"),
+            (older["rows"] + newer["rows"]).alias("rows"),
+        )
+
+    dated = signals.withColumn("_day", F.unix_date("session_date"))
     return (
-        signals.withColumn("_past", past)
-        .withColumn("ewma_score", F.when(F.size("_past") >= min_history, fold))
+        range_scan(dated, ["symbol"], "_day", own, compose, "_past", width=width)
+        .withColumn("ewma_score", F.when(F.col("_past.rows") >= min_history, F.col("_past.addend")))
         .withColumn("ewma_choice", _by_sign(F.col("ewma_score")))
         .withColumn("ewma", _follow(F.col("ewma_choice")))
-        .drop("_past")
+        .drop("_past", "_day")
     )
 
 
