@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitsignal.bindings.base import (
     BARS_SQL, CTE_BARS, CTE_EPISODES, CTE_FACTS, CTE_RAW, CTE_SESSIONS, DRIVER, GRID_1H, GRID_4H, HORIZONS, LIVE_LOOKBACK,
-    LOOKBACKS, PRIMARY, UNIVERSE, bars, cte_episodes, cte_raw, event_span, for_spark, load, query, r,
+    LOOKBACKS, PRIMARY, SECOND, UNIVERSE, bars, cte_episodes, cte_raw, event_span, for_spark, load, query, r,
 )
 from pitsignal.functions import clock
 from pitsignal.functions.clock import SessionSpec
@@ -15,7 +15,7 @@ from pitsignal.functions.numeric import expected_return, guarded_return, residua
 from pitsignal.operators.asof import asof_backward
 from pitsignal.operators.calendar import business_days, session_table
 from pitsignal.operators.episodes import day_facts, episode_frame, forward_columns, raw_episodes, with_prior_close
-from pitsignal.operators.live import live_features
+from pitsignal.operators.live import live_features, signal_evidence
 from pitsignal.session import scratch_path
 from pitsignal.sources.bars import (
     cache_manifest, collapse_duplicates, conflicting_bars, flatten_bar_payload, history_window, normalize_bars, read_bar_cache, write_bar_cache,
@@ -303,7 +303,12 @@ def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(spark, sf_dir).select("symbol", "session_date", "history_count", "residual_z")
 
 
-@query("P27_signal_approval", f"""with {CTE_LIVE} select symbol, cast(d as varchar) as session_date, approved,
- case when approved then 'residual_at_or_above_threshold' else 'residual_below_frozen_threshold' end as reason from live""")
+# the control series is outside the allow-list; the mean stands for the figure of a frozen study
+ALLOWED, STUDY_MEAN = (PRIMARY, SECOND), 0.004239
+
+
+@query("P27_signal_approval", f"""with {CTE_LIVE} select symbol, cast(d as varchar) as session_date, approved and symbol in {ALLOWED} as approved,
+ case when symbol not in {ALLOWED} then 'underlying_not_approved' when approved then 'residual_at_or_above_threshold' else 'residual_below_frozen_threshold' end as reason,
+ case when symbol in {ALLOWED} then {r('z')} end as residual_z, case when symbol in {ALLOWED} then {STUDY_MEAN}::double end as historical_mean_signed_return from live""")
 def p27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live(spark, sf_dir).select("symbol", "session_date", "approved", "reason")
+    return signal_evidence(live(spark, sf_dir), approved_symbols=ALLOWED, historical_mean=STUDY_MEAN)

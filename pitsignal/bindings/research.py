@@ -179,7 +179,7 @@ def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
  from folds f join common m on m.symbol = f.symbol and m.rk <= f.te + {CONFIG.test_size} join clean c on c.symbol = m.symbol and c.d = m.d group by 1, 2, 3""")
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = walkforward.clean_frames(episodes(spark, sf_dir), CONFIG)
-    common = walkforward.common_sessions(clean, LOOKBACKS)
+    common = walkforward.common_sessions(clean)
     folds = walkforward.expanding_folds(common, min_train=CONFIG.min_train, test_size=CONFIG.test_size)
     rows = walkforward.fold_rows(clean, common, folds)
     return rows.groupBy("symbol", "fold_id", "lookback").agg(
@@ -189,7 +189,7 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J09_common_sessions", f"with {CTE_COMMON} select symbol, cast(d as varchar) as session_date, rk as session_rank from common")
 def j09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walkforward.common_sessions(walkforward.clean_frames(episodes(spark, sf_dir), CONFIG), LOOKBACKS)
+    return walkforward.common_sessions(walkforward.clean_frames(episodes(spark, sf_dir), CONFIG))
 
 
 @query("J10_candidate_grid", f"""with {CTE_WF} select symbol, fold_id, lookback, thesis, norm as normalization, thr as threshold, hor as horizon, n as train_count,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,22 @@ def live_features(
             F.when(F.abs("residual") >= threshold, approved_reason).otherwise("residual_below_frozen_threshold").alias("reason"),
         )
     )
+
+
+def signal_evidence(
+    features: DataFrame, *, approved_symbols: Sequence[str] | None = None, historical_mean: float | None = None
+) -> DataFrame:
+    """The evidence of a live signal: approval and reason, z-score, and the mean return of the frozen study.
+
+    `features` is the result of live_features. A symbol outside the allow-list is refused before its
+    residual is looked at, and carries neither score nor mean.
+    """
+    listed = F.lit(True) if approved_symbols is None else F.col("symbol").isin(list(approved_symbols))
+    return features.select(
+        "symbol",
+        "session_date",
+        (listed & F.col("approved")).alias("approved"),
+        F.when(~listed, "underlying_not_approved").otherwise(F.col("reason")).alias("reason"),
+        F.when(listed, F.col("residual_z")).alias("residual_z"),
+        F.when(listed, F.lit(historical_mean).cast("double")).alias("historical_mean_signed_return"),
+    )

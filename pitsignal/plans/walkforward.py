@@ -55,22 +55,32 @@ class WalkForwardConfig:
 
 
 def clean_frames(frames: DataFrame, config: WalkForwardConfig) -> DataFrame:
+    """Finite rows of the lookbacks to evaluate, with `lookbacks`, the set of them.
+
+    A symbol's lookbacks are the configured ones that its frame has; a frame with none of them is
+    evaluated over all it has. They are found in the frame before unusable rows are dropped.
+    """
     needed = ["symbol", "lookback", "session_date", "residual", *config.horizons]
     require_columns(frames, needed, "walk-forward frames")
     numeric = ["residual", *config.horizons]
+    present = F.sort_array(F.collect_set("lookback").over(Window.partitionBy("symbol")))
+    wanted = F.array(*[F.lit(k) for k in sorted(set(config.beta_lookbacks))])
+    configured = F.filter("_present", lambda k: F.array_contains(wanted, k))
     return (
-        frames.where(F.col("lookback").isin(list(config.beta_lookbacks)))
-        .select("symbol", "lookback", "session_date", *[finite(F.col(c)).alias(c) for c in numeric])
+        frames.withColumn("_present", present)
+        .withColumn("lookbacks", F.when(F.size(configured) > 0, configured).otherwise(F.col("_present")))
+        .where(F.array_contains("lookbacks", F.col("lookback")))
+        .select("symbol", "lookback", "session_date", *[finite(F.col(c)).alias(c) for c in numeric], "lookbacks")
         .dropna(subset=numeric)
     )
 
 
-def common_sessions(clean: DataFrame, lookbacks: Sequence[int]) -> DataFrame:
-    """Dates present for every lookback, numbered per symbol from 1."""
+def common_sessions(clean: DataFrame) -> DataFrame:
+    """Dates present for every lookback of the symbol's frame, numbered per symbol from 1."""
     shared = (
         clean.groupBy("symbol", "session_date")
-        .agg(F.count_distinct("lookback").alias("_k"))
-        .where(F.col("_k") == len(set(lookbacks)))
+        .agg(F.count_distinct("lookback").alias("_k"), F.max(F.size("lookbacks")).alias("_all"))
+        .where(F.col("_k") == F.col("_all"))
     )
     order = Window.partitionBy("symbol").orderBy("session_date")
     return shared.select("symbol", "session_date", F.row_number().over(order).alias("session_rank"))
@@ -113,7 +123,7 @@ def fold_rows(clean: DataFrame, sessions: DataFrame, folds: DataFrame) -> DataFr
         .withColumn("train_mean", F.avg(train_residual).over(group))
         .withColumn("train_std", F.stddev_samp(train_residual).over(group))
         .withColumn("zscore", zscore(F.col("residual"), F.col("train_mean"), F.col("train_std")))
-        .drop("train_end_rank", "test_end_rank", "train_mean", "train_std")
+        .drop("train_end_rank", "test_end_rank", "train_mean", "train_std", "lookbacks")
     )
 
 
@@ -152,12 +162,13 @@ def score_candidates(rows: DataFrame, config: WalkForwardConfig) -> DataFrame:
 
 def select_configs(candidates: DataFrame, folds: DataFrame, config: WalkForwardConfig) -> DataFrame:
     """Per fold the largest (median, mean, count) with two signals at least; the first grid entry
-    wins ties, and a fixed entry stands in when nothing qualifies."""
+    wins ties, and a fixed entry of the smallest lookback at hand stands in when nothing qualifies."""
     chosen = F.struct("lookback", "thesis", "normalization", "threshold", "horizon")
     rank = F.struct("train_median", "train_mean", "train_count", (-F.col("grid_order")).alias("first"))
-    best = candidates.where("train_count >= 2").groupBy("symbol", "fold_id").agg(F.max_by(chosen, rank).alias("_best"))
+    enough = F.when(F.col("train_count") >= 2, rank)
+    best = candidates.groupBy("symbol", "fold_id").agg(F.max_by(chosen, enough).alias("_best"), F.min("lookback").alias("_least"))
     fallback = F.struct(
-        F.lit(min(config.beta_lookbacks)).alias("lookback"),
+        F.coalesce("_least", F.lit(min(config.beta_lookbacks))).alias("lookback"),
         F.lit("reversion").alias("thesis"),
         F.lit("raw").alias("normalization"),
         F.lit(config.level("raw", config.thresholds[0])).cast("double").alias("threshold"),
@@ -226,7 +237,7 @@ def walk_forward(frames: DataFrame, config: WalkForwardConfig, *, cut: bool = Tr
     clean = clean_frames(frames, config)
     if cut:
         clean = cut_lineage(clean)
-    sessions = common_sessions(clean, config.beta_lookbacks)
+    sessions = common_sessions(clean)
     folds = expanding_folds(sessions, min_train=config.min_train, test_size=config.test_size)
     rows = fold_rows(clean, sessions, folds)
     candidates = score_candidates(rows, config)

@@ -111,13 +111,19 @@ def cache_manifest(bars: DataFrame, *, provider: str, asset_class: str, feed: st
     )
 
 
-def write_bar_cache(bars: DataFrame, path: str, *, asset_class: str) -> None:
-    """Partition by class and symbol, and by month inside, so that no symbol becomes one file."""
+def write_bar_cache(bars: DataFrame, path: str, *, asset_class: str, ranges: int | None = None) -> None:
+    """Partition by class, symbol and month; inside, files hold disjoint ranges of (symbol, instant).
+
+    Ranges are cut by the rows themselves, so a month of a hot symbol is many tasks and many files, and
+    the statistics of a file let a filter on ts skip it. `ranges` is the number of ranges; by default
+    the session's shuffle partitions, of which small neighbours are joined.
+    """
+    keys = ("symbol", "ts")
+    dealt = bars.repartitionByRange(*keys) if ranges is None else bars.repartitionByRange(ranges, *keys)
     (
-        bars.withColumn("asset_class", F.lit(asset_class))
+        dealt.withColumn("asset_class", F.lit(asset_class))
         .withColumn("month", F.date_format("ts", "yyyy-MM"))
-        .repartition("symbol", "month")
-        .sortWithinPartitions("symbol", "ts")
+        .sortWithinPartitions(*keys)
         .write.mode("append")
         .partitionBy("asset_class", "symbol", "month")
         .parquet(path)

@@ -1,7 +1,8 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitsignal.schemas import BARS
 from pitsignal.session import scratch_path
@@ -62,6 +63,19 @@ def test_cache_roundtrip_prunes_by_symbol(spark):
     assert "PartitionFilters: [isnotnull(symbol" in back._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_month_of_one_symbol_is_many_files_that_a_time_filter_skips(spark):
+    start = datetime(2026, 8, 1)
+    rows = [("A", start + timedelta(minutes=i), 1.0, 1.0, 1.0, 1.0, float(i)) for i in range(4000)]
+    path = scratch_path(spark, "cache")
+    src.write_bar_cache(spark.createDataFrame(rows, BARS).repartition(5), path, asset_class="crypto", ranges=8)
+    cached = src.read_bar_cache(spark, path)
+    spans = sorted(tuple(r) for r in cached.groupBy(F.input_file_name().alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("a", "b").collect())
+    assert len(spans) >= 6 and all(one[1] < two[0] for one, two in zip(spans, spans[1:]))
+    late = cached.where(F.col("ts") >= F.lit(start + timedelta(minutes=3900)))
+    assert late.count() == 100 and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in late._jdf.queryExecution().executedPlan().toString()
+    assert cached.count() == 4000
+
+
 def test_snapshot_rules(spark):
     quote = {"t": "2026-08-31T13:59:00Z", "bp": 1.25, "ap": 1.35}
     snaps = {

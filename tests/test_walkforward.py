@@ -61,10 +61,23 @@ def test_the_fixed_entry_stands_in_when_no_configuration_has_signals(spark):
 def test_dates_missing_for_one_lookback_are_left_out(spark):
     gone = date(2025, 1, 3)
     cut = frames(spark, 1.0).where(~((F.col("lookback") == 20) & (F.col("session_date") == gone)))
-    sessions = wf.common_sessions(wf.clean_frames(cut, CONFIG), CONFIG.beta_lookbacks)
+    sessions = wf.common_sessions(wf.clean_frames(cut, CONFIG))
     assert sessions.where(F.col("session_date") == gone).count() == 0 and sessions.where("symbol = 'S'").count() == 119
 
 
+def test_absent_lookbacks_do_not_stop_the_evaluation(spark):
+    silent = frames(spark, 1.0).withColumn("residual", F.col("residual") * 0 + 1e-9)
+    only = lambda df, *kept: df.where(F.col("lookback").isin(*kept))
+    rest = max(CONFIG.beta_lookbacks)
+    part = only(silent, rest)
+    run = wf.walk_forward(part, CONFIG)
+    assert {r.lookback for r in run.selected.collect()} == {rest} and run.folds.count() > 0
+    # none of the configured ones: all that the frame has are evaluated
+    other = part.withColumn("lookback", F.lit(77)).unionByName(part.withColumn("lookback", F.lit(99)))
+    assert {r.lookback for r in wf.walk_forward(other, CONFIG).selected.collect()} == {77}
+    assert {r.lookback for r in wf.walk_forward(other, CONFIG).candidates.select("lookback").distinct().collect()} == {77, 99}
+
+
 def test_folds_have_no_partial_tail_and_sizes_are_checked(spark):
     sessions = spark.createDataFrame([("S", d, i + 1) for i, d in enumerate(days(date(2025, 1, 2), 29))], "symbol string, session_date date, session_rank int")
     got = wf.expanding_folds(sessions, min_train=10, test_size=5).orderBy("fold_id").collect()
