@@ -418,6 +418,15 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.join(studies.recommended_horizon(table), "symbol")
 
 
+@query("C03_study_header", f"""with {CTE_H}, rec as ({_REC}), span as (select symbol, min(d)::date::varchar as sample_start, max(d)::date::varchar as sample_end from hs where minutes = {HORIZON.baseline} group by 1)
+ select symbol, 'frozen' as policy, {HORIZON.threshold}::double as threshold, {HORIZON.min_training} as minimum_training_count, {HORIZON.baseline} as baseline_minutes,
+  '{",".join(map(str, HORIZON.minutes))}' as tested_minutes, sample_start, sample_end, recommended_minutes, promoted, episode_count from span join rec using (symbol)""")
+def c03_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = study_frame(spark, sf_dir)
+    header = studies.study_header(frame, studies.horizon_study(frame, HORIZON), HORIZON)
+    return header.withColumn("tested_minutes", F.array_join(F.col("tested_minutes").cast("array<string>"), ","))
+
+
 BOUNDARY = studies.BoundaryStudy(thresholds=(0.2, 0.4, 0.5, 0.6, 0.8, 9.0), baseline=0.5, lower=0.4, upper=0.6, min_training=8, min_signals=5)
 _THRESHOLDS = ", ".join(f"{t}::double" for t in BOUNDARY.thresholds)
 

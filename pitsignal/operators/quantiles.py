@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitsignal.session import cut_lineage
+
 _ACCURACY = 10_000
 _MARGIN = 4.0 / _ACCURACY
 _BINS = 256
@@ -18,8 +20,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     A mergeable sketch brackets each quantile, and each end moves out to the next value of the group,
     since an interpolated rank lies up to one value beside the sketch's. Values below the bracket are
     only counted, the few inside it are spread over bins of about equally many values, however they are
-    spread, and ranked exactly, so no task sees a whole group; a group of any size takes this way. Equal values are merged before the shuffle. A bracket
-    that misses its rank raises, so a result is never approximate.
+    spread, and ranked exactly, so no task sees a whole group; a group of any size takes this way. Equal
+    values are merged before the shuffle. Where a sketch's bracket misses its rank, the groups concerned
+    are ranked once more between their least and greatest value, so a result is never approximate. The
+    ranked values are checkpointed (a row per group and quantile) to see whether there is such a group.
     """
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
@@ -52,6 +56,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         F.max(F.when(x < F.col("lo"), x)).alias("_below"), F.min(F.when(x > F.col("hi"), x)).alias("_above")
     )
     brackets = beside.select(*keys, "name", "rank", F.coalesce("_below", "lo").alias("lo"), F.coalesce("_above", "hi").alias("hi"))
+    picked = cut_lineage(_ranked(counted, brackets, keys).where(F.col("_x").isNotNull()))
+    missed = sketched.select(*keys, "name", "rank").join(picked, [*keys, "name"], "left_anti")
+    if missed.limit(1).count():
+        ends = sketch.select(*keys, F.col("_min").alias("lo"), F.col("_max").alias("hi"))
+        picked = picked.unionByName(_ranked(counted, missed.join(ends, keys), keys))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in names])
+
+
+def _ranked(counted: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """The interpolated value at `rank` of every (group, name), null where [lo, hi] does not hold it."""
+    x = F.col("_v")
     group = [*keys, "name"]
     # edges between values of the bracket, each distinct value counted once: bins hold equally many of them
     cuts = (
@@ -83,6 +98,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         F.max(F.when(holds(low), x)).alias("_lo"), F.max(F.when(holds(high), x)).alias("_hi")
     )
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("rank") - F.floor("rank"))
-    checked = F.when(value_at.isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(value_at)
-    exact = picked.select(*keys, "name", checked.cast("double").alias("_x"))
-    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("_x"))).alias(name) for name in names])
+    return picked.select(*keys, "name", "rank", value_at.cast("double").alias("_x"))

@@ -108,6 +108,25 @@ def recommended_horizon(table: DataFrame, baseline: int = 60) -> DataFrame:
     )
 
 
+def study_header(frame: DataFrame, table: DataFrame, study: HorizonStudy = HorizonStudy(), *, policy: str = "frozen") -> DataFrame:
+    """What was studied, per symbol: the frozen policy's figures, the sample's span, and the recommendation.
+
+    `table` is the horizon_study of the same frame. A frame without one complete episode raises.
+    """
+    base = horizon_sample(frame, study).where(F.col("minutes") == study.baseline)
+    if not base.limit(1).count():
+        raise ValueError("no episode has every horizon, a full history and a signal")
+    spans = base.groupBy("symbol").agg(F.min("session_date").alias("sample_start"), F.max("session_date").alias("sample_end"))
+    fixed = {
+        "policy": F.lit(policy),
+        "threshold": F.lit(study.threshold),
+        "minimum_training_count": F.lit(study.min_training),
+        "baseline_minutes": F.lit(study.baseline),
+        "tested_minutes": F.array(*[F.lit(m) for m in study.minutes]),
+    }
+    return spans.withColumns(fixed).join(recommended_horizon(table, study.baseline), "symbol")
+
+
 @dataclass(frozen=True)
 class BoundaryStudy:
     # fixed values: the frozen gate, its declared neighbours and the descriptive grid

@@ -80,3 +80,17 @@ def test_quantiles_of_small_groups_take_the_common_way(spark):
     for r in got:
         values = [v for k, v in rows if k == r.k]
         assert [r[n] for n in probs] == pytest.approx(list(np.quantile(values, list(probs.values()))))
+
+
+def test_a_bracket_that_misses_is_ranked_over_the_whole_group(spark, monkeypatch):
+    """A sketch that is far off: every edge lies above the median's place."""
+    from pitsignal.operators import quantiles
+
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=3001), "b": rng.integers(0, 9, 500).astype(float)}
+    rows = [(k, float(v)) for k, own in values.items() for v in own]
+    frame = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    monkeypatch.setattr(quantiles, "_MARGIN", -0.2)  # edges at 0.2 above and below, in the wrong order: an empty bracket
+    got = {r.k: r for r in quantiles.exact_quantiles(frame, ["k"], "x", {"q25": 0.25, "median": 0.5}).collect()}
+    for k, own in values.items():
+        assert got[k].median == pytest.approx(np.median(own)) and got[k].q25 == pytest.approx(np.quantile(own, 0.25))
