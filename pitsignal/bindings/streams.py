@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.bindings.base import load, query
+from pitsignal.bindings.base import LIVE_LOOKBACK, load, query, r
+from pitsignal.bindings.episodes import CTE_LIVE, live_raw
 from pitsignal.functions.clock import local_date
 from pitsignal.operators.ledger import replay_steps
 from pitsignal.streaming import bars as sb
 from pitsignal.streaming import episodes as se
+from pitsignal.session import scratch_path
+from pitsignal.streaming.live import rolling_betas
 from pitsignal.streaming.run import file_stream, run_available, with_end
 
 
@@ -112,3 +115,15 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     (decisions, no_more_decisions), (quotes, no_more_quotes) = with_end(decisions, "decided_at"), with_end(quotes, "quoted_at")
     pairs = run_available(sb.fresh_quotes(decisions, quotes, key="user_id", max_age_seconds=14400), "k06", ends=[no_more_decisions, no_more_quotes])
     return sb.freshest(pairs)
+
+
+@query("K07_live_beta", f"""with {CTE_LIVE} select symbol, d::varchar as session_date, tc as training_count, {r('beta')} as beta, {r('expected')} as expected_return, {r('residual')} as residual
+ from lep where tc = {LIVE_LOOKBACK}""")
+def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "sessions")
+    sessions = live_raw(spark, sf_dir).select("symbol", "session_date", "driver_return", "premarket_return")
+    sessions.write.parquet(path)
+    stream, finish = with_end(file_stream(spark, path, sessions.schema).withColumn("end_ts", F.col("session_date").cast("timestamp")), "end_ts")
+    # the marker's own day lies at the end of time as well
+    betas = run_available(rolling_betas(stream, lookback=LIVE_LOOKBACK), "k07", ends=[finish], keyed=True)
+    return betas.where(F.col("training_count") == LIVE_LOOKBACK)

@@ -1,12 +1,15 @@
-from datetime import datetime, timedelta
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from pitsignal.operators.episodes import episode_frame
 from pitsignal.operators.ledger import TRANSITIONS
 from pitsignal.session import scratch_path
 from pitsignal.streaming import bars as sb
 from pitsignal.streaming import episodes as se
+from pitsignal.streaming.live import rolling_betas
 from pitsignal.streaming.run import file_stream, run_available, with_end
 
 T0 = datetime(2026, 8, 31, 13, 0)
@@ -123,3 +126,26 @@ def test_late_events_of_a_session_abstain_once_it_is_over(spark):
     stream = sb.route_events(drip(spark, batches, "symbol string, ts timestamp, arrived timestamp"), cutoff="09:40", tz="America/New_York")
     got = run_available(sb.abstain_rows(stream, tz="America/New_York"), "abstain").collect()
     assert [(r.symbol, str(r.session_date), r.late_events, r.reason) for r in got] == [("A", "2026-08-31", 2, "late_start")]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 3, 2)])
+def test_rolling_betas_equal_the_batch_in_any_arrival_order(spark, order):
+    rng = random.Random(5)
+    rows = [("A" if i % 3 else "B", date(2026, 1, 5) + timedelta(days=i), rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(48)]
+    rows[7] = (*rows[7][:2], None, 0.1)
+    rows[20] = (*rows[20][:2], 0.3, float("nan"))
+    batches = [rows[i * 12 : (i + 1) * 12] for i in range(4)]
+    schema = "symbol string, session_date date, driver_return double, premarket_return double"
+    stream, finish = with_end(drip(spark, [batches[i] for i in order], schema).withColumn("end_ts", F.col("session_date").cast("timestamp")), "end_ts")
+    got = {(r.symbol, r.session_date): r for r in run_available(rolling_betas(stream, lookback=5, delay="30 days"), "betas", ends=[finish], keyed=True).collect()}
+    batch = episode_frame(spark.createDataFrame(rows, schema), [5], full_window=True).collect()
+    assert len(got) == len(batch) == 48
+    for r in batch:
+        own = got[r.symbol, r.session_date]
+        assert own.training_count == r.training_count
+        for name in ("beta", "expected_return", "residual"):
+            want = getattr(r, name)
+            if want is None or want != want:
+                assert getattr(own, name) is None
+            else:
+                assert getattr(own, name) == pytest.approx(want, abs=1e-9)
