@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pitsignal.llm.boilerplate import FLOOR, MAX_RATIO
-from pitsignal.llm.mixing import ROUNDS
+from pitsignal.llm import topics
+from pitsignal.llm.mixing import LAZY_ROUNDS, ROUNDS, TOLERANCE
 from pitsignal.llm.quality_rules import ITERATIONS, MIN_WORDS, MAX_REPEAT_PCT, RULES, SMOOTHING, VOTES
+from pitsignal.llm.quality_rules import TOLERANCE as LIKELIHOOD_TOLERANCE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,31 +35,29 @@ def _quality_rules() -> str:
         _measures(),
         f"v as materialized (select *, {votes} from m)",
         f"p as materialized (select {', '.join(names)}, cast(count(*) as double) as n from v group by all)",
-        f"q0 as materialized (select *, case when least({', '.join(names)}) = -1 then 0.1 else 0.9 end as keep from p)",
     ]
-
-    def odds(k: int) -> str:
-        cases = [
-            "case " + f"vote_{r.name}" + "".join(f" when {v} then ln(k_{r.name}_{v + 1}) - ln(r_{r.name}_{v + 1})" for v in VOTES) + " end"
-            for r in RULES
-        ]
-        return f"1 / (1 + exp(-(ln(prior) - ln(1 - prior) + {' + '.join(cases)})))"
-
-    for k in range(ITERATIONS):
-        rates = [f"(sum(n * keep) + {SMOOTHING}) / (sum(n) + 2 * {SMOOTHING}) as prior"]
-        for r in RULES:
-            for v in VOTES:
-                hit = f"filter (vote_{r.name} = {v})"
-                rates.append(f"(coalesce(sum(n * keep) {hit}, 0) + {SMOOTHING}) / (sum(n * keep) + 3 * {SMOOTHING}) as k_{r.name}_{v + 1}")
-                rates.append(f"(coalesce(sum(n * (1 - keep)) {hit}, 0) + {SMOOTHING}) / (sum(n * (1 - keep)) + 3 * {SMOOTHING}) as r_{r.name}_{v + 1}")
-        ctes.append(f"t{k + 1} as materialized (select {', '.join(rates)} from q{k})")
-        ctes.append(f"q{k + 1} as materialized (select p.*, {odds(k)} as keep from p, t{k + 1})")
+    sums = ["(sum(n * keep) over () + {0}) / (sum(n) over () + 2 * {0}) as prior".format(SMOOTHING)]
+    for r in RULES:
+        for v in VOTES:
+            hit = f"filter (vote_{r.name} = {v}) over ()"
+            for side, part in (("k", "n * keep"), ("r", "n * (1 - keep)")):
+                sums.append(f"(coalesce(sum({part}) {hit}, 0) + {SMOOTHING}) / (sum({part}) over () + 3 * {SMOOTHING}) as {side}_{r.name}_{v + 1}")
+    one = lambda side: " + ".join(
+        f"case vote_{r.name}" + "".join(f" when {v} then ln({side}_{r.name}_{v + 1})" for v in VOTES) + " end" for r in RULES
+    )
+    ctes.append(f"""f as (select 0 as k, *, case when least({', '.join(names)}) = -1 then 0.1::double else 0.9::double end as keep,
+    cast(null as double) as ll, cast(null as double) as before from p
+  union all
+  select k + 1, {', '.join(names)}, n, 1 / (1 + exp(b - a)) as keep, sum(n * (greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))))) over () as ll, ll as before
+  from (select *, ln(prior) + {one('k')} as a, ln(1 - prior) + {one('r')} as b from (select *, {', '.join(sums)} from f
+    where k < {ITERATIONS} and (k < 2 or abs(ll - before) > {LIKELIHOOD_TOLERANCE} * (select sum(n) from p)))))""")
+    ctes.append("q as materialized (select * from f where k = (select max(k) from f))")
     match = " and ".join(f"v.{n} = q.{n}" for n in names)
     failed = f"(v.n_words < {MIN_WORDS} or 100 * v.n_repeat_words > {MAX_REPEAT_PCT} * v.n_words)"
-    return f"""with {', '.join(ctes)}
+    return f"""with recursive {', '.join(ctes)}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} as base_failed,
   not {failed} and q.keep >= 0.5 as kept, round(q.keep, 6) as posterior, {', '.join(f'v.{n}' for n in names)}
-from v join q{ITERATIONS} q on {match}"""
+from v join q on {match}"""
 
 
 QUALITY_RULES = _quality_rules()
@@ -81,31 +81,67 @@ from doc d join n using (r) left join kept using (r)"""
 POWERS = {"tool": 0.9, "lang": 0.9, "driver": 0.8}
 
 
+def _topics() -> list[str]:
+    """CTEs up to `doc` (r, doc_id, source, lang, n, topic), topics learned as in topics.learn_topics."""
+    k, bins = range(topics.TOPICS), topics.BINS
+    logs = ", ".join(
+        f"cast(round({topics.SCALE} * ln((coalesce(sum(n) filter (topic = {t}) over (partition by bin), 0) + 1) / "
+        f"(coalesce(sum(n) filter (topic = {t}) over (), 0) + {bins}))) as bigint) as l{t}"
+        for t in k
+    )
+    best = "list_position([{0}], greatest({0})) - 1".format(", ".join(f"s{t}" for t in k))
+    draw = "cast(('0x' || substr(md5('1:' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) / 4503599627370496.0"
+    return [
+        "raw as materialized (select row_number() over () as r, * from documents)",
+        f"""wb as materialized (select r, (31 * unicode(w) + 17 * unicode(right(w, 1)) + length(w)) % {bins} as bin, count(*) as n
+  from (select r, unnest(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as w from raw) group by all)""",
+        f"drawn as materialized (select r from raw where {draw} < {topics.SAMPLE} / (select count(*) from raw)::double)",
+        # every row has all bins, so that each round's counts exist for all of them
+        f"""sb as materialized (select d.r, b.bin, coalesce(wb.n, 0) as n from (select distinct r from wb join drawn using (r)) d
+  join (select unnest(range({bins})) as bin) b on true left join wb on wb.r = d.r and wb.bin = b.bin)""",
+        f"""tp as (select 0 as k, r, bin, n, (first_value(bin) over (partition by r order by n desc, bin)) % {topics.TOPICS} as topic, true as moved,
+    {', '.join(f'cast(0 as bigint) as l{t}' for t in k)} from sb
+  union all
+  select k + 1, r, bin, n, best, bool_or(best <> topic) over (), {', '.join(f'l{t}' for t in k)} from (select *, {best} as best from (
+    select *, {', '.join(f'sum(n * l{t}) over (partition by r) as s{t}' for t in k)} from (
+      select k, r, bin, n, topic, {logs} from tp where k < {topics.ROUNDS} and moved))))""",
+        f"wt as materialized (select distinct bin, {', '.join(f'l{t}' for t in k)} from tp where k = (select max(k) from tp))",
+    ]
+
+
 def _mixing() -> str:
-    band = """case when text is null or length(text) < 600 then 'unclear' when length(text) < 1500 then 'company_specific'
-  when length(text) < 4000 then 'macro' else 'crypto_cross_market' end"""
     names = {"tool": "source", "lang": "lang", "driver": "topic"}
+    k = range(topics.TOPICS)
+    score = ", ".join(f"sum(n * l{t}) as s{t}" for t in k)
+    best = "list_position([{0}], greatest({0})) - 1".format(", ".join(f"s{t}" for t in k))
     ctes = [
-        f"doc as materialized (select doc_id, source, lang, {band} as topic, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as n from documents)",
-        "cell as materialized (select source, lang, topic, cast(sum(n) as double) as tokens, cast(sum(n) as double) as w from doc group by 1, 2, 3)",
+        *_topics(),
+        f"placed as materialized (select r, sum(n) as n, {score} from wb join wt using (bin) group by r)",
+        f"doc as materialized (select r, doc_id, source, lang, coalesce(n, 0) as n, case when n is null then 'unclear' else 'topic ' || ({best}) end as topic from raw left join placed using (r))",
+        "cell as materialized (select source, lang, topic, cast(sum(n) as double) as tokens from doc group by 1, 2, 3)",
     ]
     for margin, power in POWERS.items():
         c = names[margin]
-        ctes.append(f"want_{c} as materialized (select {c} as value, pow(sum(tokens), {power}) as share from cell group by 1)")
-    last, k = "cell", 0
-    for _ in range(ROUNDS):
-        for margin in POWERS:
-            c, k = names[margin], k + 1
-            ctes.append(
-                f"w{k} as materialized (select x.source, x.lang, x.topic, x.tokens, case when sum(w) over (partition by x.{c}) > 0 "
-                f"then w * t.share / sum(w) over (partition by x.{c}) else 0 end as w from {last} x join want_{c} t on t.value is not distinct from x.{c})"
-            )
-            last = f"w{k}"
+        ctes.append(f"want_{c} as materialized (select {c} as value, pow(sum(tokens), {power}) / sum(pow(sum(tokens), {power})) over () as share from cell group by 1)")
+    step, wants = "fit", []
+    for c in names.values():
+        wants.append(f"join want_{c} t_{c} on t_{c}.value is not distinct from cell.{c}")
+        step = f"select * replace (case when sum(w) over (partition by {c}) > 0 then w * want_{c} / sum(w) over (partition by {c}) else 0 end as w) from ({step})"
+        if "from (fit)" in step:
+            step = step.replace("from (fit)", f"from fit where k < {ROUNDS} and (k % {LAZY_ROUNDS} <> 0 or off > {TOLERANCE})")
+    offs = ", ".join(f"abs(sum(w) over (partition by {c}) - want_{c})" for c in names.values())
+    shares = ", ".join(f"t_{c}.share as want_{c}" for c in names.values())
+    kept = ", ".join(f"want_{c}" for c in names.values())
+    ctes.append(
+        f"""fit as (select 0 as k, source, lang, topic, tokens, tokens as w, {shares}, cast(1 as double) as off from cell {' '.join(wants)}
+  union all
+  select k + 1, source, lang, topic, tokens, w, {kept}, max(e) over () from (select *, greatest({offs}) as e from ({step})))"""
+    )
     draw = "cast(('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) / 4503599627370496.0"
-    return f"""with {', '.join(ctes)},
-rate as materialized (select source, lang, topic, w / sum(w) over () as weight, coalesce((case when tokens > 0 then w / tokens end)
-  / max(case when tokens > 0 then w / tokens end) over (), 1.0) as p from {last})
-select doc_id, d.source, d.lang, d.topic, round(weight, 9) as weight, round(p, 9) as probability, {draw} < p as sampled
+    return f"""with recursive {', '.join(ctes)},
+rate as materialized (select source, lang, topic, off, w / sum(w) over () as weight, coalesce((case when tokens > 0 then w / tokens end)
+  / max(case when tokens > 0 then w / tokens end) over (), 1.0) as p from fit where k = (select max(k) from fit))
+select doc_id, d.source, d.lang, d.topic, round(weight, 9) as weight, round(p, 9) as probability, round(off, 5) as margin_error, {draw} < p as sampled
 from doc d join rate r on d.source is not distinct from r.source and d.lang is not distinct from r.lang and d.topic = r.topic"""
 
 

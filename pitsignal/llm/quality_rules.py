@@ -36,7 +36,8 @@ RULES = (
     Rule("fluent", keep="n_stutter <= 0.05 * n_words and n_repeat_words <= 0.25 * n_words"),
     Rule("sober", keep="n_symbols <= 0.05 * n_words and n_upper <= 0.25 * word_chars and n_stutter <= 0.05 * n_words"),
 )
-ITERATIONS = 12
+ITERATIONS = 500  # upper bound; the tolerance ends the learning
+TOLERANCE = 1e-7  # change of the log likelihood a row
 SMOOTHING = 1.0
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 
@@ -55,30 +56,50 @@ def _log_ratio(rules: tuple[Rule, ...], rates: dict[tuple[str, int, int], float]
     return total
 
 
-def learn_rates(votes: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = ITERATIONS):
+def _likelihood(rules: tuple[Rule, ...], rates: dict[tuple[str, int, int], float], prior: float) -> Column:
+    """Log likelihood of a row of votes under both classes."""
+    sides = []
+    for kind, start in ((KEEP, log(prior)), (REJECT, log(1 - prior))):
+        total = F.lit(start)
+        for rule in rules:
+            v = F.col(f"vote_{rule.name}")
+            at = {k: log(rates[rule.name, kind, k]) for k in VOTES}
+            total = total + F.when(v == KEEP, at[KEEP]).when(v == REJECT, at[REJECT]).otherwise(at[ABSTAIN])
+        sides.append(total)
+    most = F.greatest(*sides)
+    return most + F.log(F.exp(sides[0] - most) + F.exp(sides[1] - most))
+
+
+def learn_rates(votes: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: int = ITERATIONS, tolerance: float = TOLERANCE):
     """EM over the distinct vote patterns: P(vote | class) per rule and the share of the class KEEP.
 
     There are at most 3^len(rules) patterns whatever the number of rows; each round is one small
-    aggregation of them and returns 1 + 3 * len(rules) sums. The first guess takes a pattern with a
-    REJECT vote as rejected (0.9). Without rows the prior is one half and all rates are one third.
+    aggregation of them and returns 3 + 6 * len(rules) sums. Rounds go on until the mean log likelihood
+    of a row changes by `tolerance` at most, `iterations` rounds at most. The first guess takes a pattern
+    with a REJECT vote as rejected (0.9). Without rows the prior is one half and all rates are one third.
     """
     names = [f"vote_{rule.name}" for rule in rules]
-    patterns = cut_lineage(votes.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    patterns = cut_lineage(votes.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")).repartition(1))
     any_reject = F.lit(False)
     for name in names:
         any_reject = any_reject | (F.col(name) == REJECT)
     keep = F.when(any_reject, 0.1).otherwise(0.9)
     rates: dict[tuple[str, int, int], float] = {}
-    prior = 0.5
-    for _ in range(iterations):
+    prior, seen, likelihood = 0.5, None, F.lit(0.0)
+    for done in range(iterations):
         q = patterns.withColumn("_k", F.col("n") * keep)
         sums = [F.coalesce(F.sum("n"), F.lit(0.0)).alias("all"), F.coalesce(F.sum("_k"), F.lit(0.0)).alias("keep")]
+        sums.append(F.coalesce(F.sum(F.col("n") * likelihood), F.lit(0.0)).alias("likelihood"))
         for name in names:
             for v in VOTES:
                 sums.append(F.coalesce(F.sum(F.when(F.col(name) == v, F.col("_k"))), F.lit(0.0)).alias(f"k_{name}_{v}"))
                 sums.append(F.coalesce(F.sum(F.when(F.col(name) == v, F.col("n"))), F.lit(0.0)).alias(f"n_{name}_{v}"))
         s = q.agg(*sums).first().asDict()
         total, kept = s["all"], s["keep"]
+        # the sums of a round show how likely the rates of the round before made the votes
+        if done > 1 and abs(s["likelihood"] - seen) <= tolerance * total:
+            break
+        seen = s["likelihood"]
         prior = (kept + SMOOTHING) / (total + 2 * SMOOTHING)
         for rule, name in zip(rules, names):
             for v in VOTES:
@@ -86,6 +107,7 @@ def learn_rates(votes: DataFrame, rules: tuple[Rule, ...] = RULES, iterations: i
                 rates[rule.name, KEEP, v] = (k + SMOOTHING) / (kept + 3 * SMOOTHING)
                 rates[rule.name, REJECT, v] = (n - k + SMOOTHING) / (total - kept + 3 * SMOOTHING)
         keep = F.lit(1.0) / (1 + F.exp(-_log_ratio(rules, rates, prior)))
+        likelihood = _likelihood(rules, rates, prior)
     return rates, prior
 
 

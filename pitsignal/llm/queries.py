@@ -12,7 +12,7 @@ from pitsignal.llm.alignment import align_evidence
 from pitsignal.llm.boilerplate import drop_boilerplate
 from pitsignal.llm.fingerprints import fingerprint_evidence
 from pitsignal.llm.merkle import folded, path_digest, record_digest, seal_evidence
-from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells
+from pitsignal.llm.mixing import mix_evidence, tempered_targets, token_cells, token_count
 from pitsignal.llm.near_copies import near_copies
 from pitsignal.llm.packing import pack_evidence
 from pitsignal.llm.quality_model import grade_evidence
@@ -20,6 +20,7 @@ from pitsignal.llm.quality_rules import weigh_evidence
 from pitsignal.llm.resharding import plan_shards, read_shards, rewrite_shards
 from pitsignal.llm.set_links import link_evidence
 from pitsignal.llm.token_files import read_token_files, write_token_files
+from pitsignal.llm.topics import learn_topics, with_driver
 from pitsignal.llm.toxicity import flag_evidence
 from pitsignal.session import cut_lineage, scratch_path
 
@@ -45,16 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_evidence(documents: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """Documents as recorded tool results; the tables hold no driver, so the text's length band stands in.
+    """Documents as recorded tool results.
 
     `carried` names columns to take along in one struct, where no name can clash.
     """
-    n = F.length("text")
-    band = F.when(n.isNull() | (n < 600), "unclear").when(n < 1500, "company_specific").when(n < 4000, "macro").otherwise("crypto_cross_market")
     along = [] if carried is None else [F.struct(*[F.col(f"`{c}`") for c in carried]).alias("carried")]
-    return documents.select(
-        F.col("doc_id").alias("item_id"), F.col("text").alias("content"), F.col("source").alias("tool"), "lang", band.alias("driver"), *along
-    )
+    return documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"), F.col("source").alias("tool"), "lang", *along)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +130,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing", oracles.MIXING)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(spark, sf_dir)
-    cells = cut_lineage(token_cells(rows))
+    # texts are read once: what follows needs their topics and token counts only
+    rows = cut_lineage(with_driver(rows, learn_topics(rows)).select("item_id", "tool", "lang", "driver", token_count(F.col("content")).alias("tokens")))
+    cells = cut_lineage(token_cells(rows, tokens=F.col("tokens")))
     targets = {margin: tempered_targets(cells, margin, power) for margin, power in POWERS.items()}
     mixed = mix_evidence(rows, targets, cells=cells)
     return mixed.select(
@@ -143,6 +142,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("driver").alias("topic"),
         F.round("weight", 9).alias("weight"),
         F.round("probability", 9).alias("probability"),
+        F.round("margin_error", 5).alias("margin_error"),
         "sampled",
     )
 
