@@ -11,6 +11,7 @@ from pitsignal.llm.packing import pack_evidence
 from pitsignal.llm.quality_model import grade_evidence
 from pitsignal.llm.queries import POWERS, as_evidence, public_tokenizer, reviews
 from pitsignal.llm.set_links import link_evidence
+from pitsignal.llm.topics import learn_topics, with_driver
 from pitsignal.session import cut_lineage, scratch_path
 
 # SQL has no word for the discriminant, the signatures or the packing
@@ -58,12 +59,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and length bands have their target token shares."""
-    rows = as_evidence(docs)
+    """Samples documents so that sources, languages and topics have their target token shares."""
+    rows = as_evidence(docs, carried=[c for c in docs.columns if c != "text"])
+    rows = with_driver(rows, learn_topics(rows))
     cells = cut_lineage(token_cells(rows))
     targets = {margin: tempered_targets(cells, margin, power) for margin, power in POWERS.items()}
-    named = as_evidence(docs, carried=[c for c in docs.columns if c != "text"])
-    sampled = mix_evidence(named, targets, cells=cells).where("sampled")
+    sampled = mix_evidence(rows, targets, cells=cells).where("sampled")
     return sampled.select(*[F.col("content").alias(c) if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns])
 
 
